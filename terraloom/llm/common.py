@@ -1,14 +1,12 @@
-"""What the operators share: tables, the shared folder, written intermediate tables."""
+"""What the operators share: tables, patterns, samples, written intermediate tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import delete, new_path, shared_dir, written  # noqa: F401  used through here by the operators
+
 #: ASCII white space, as the contracts' `[\x20\x09-\x0D]`.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -18,46 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`. A temporary one of this
-    machine stands in only for a local master (tests); a cluster without the setting is an error."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"terraloom-shared-{os.getuid()}")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/terraloom/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: it cuts the lineage, survives
-    lost executors, and is columnar. Use delete() on what is no longer needed."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.terraloom_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def delete(*dfs: DataFrame) -> None:
-    """Remove tables made by written() that no later plan reads."""
-    for df in dfs:
-        if path := getattr(df, "terraloom_path", None):
-            remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,12 +1,10 @@
-"""Connected components: local union-find in numpy, and alternating stars over DataFrames."""
+"""Sets of links: union-find in numpy within a task; connected components over DataFrames beyond it."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import delete, written
+from ..operators.graph import components  # noqa: F401  used through here by the operators
 
 
 def union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -23,36 +21,3 @@ def union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             if np.array_equal(up, labels):
                 break
             labels[:] = up
-
-
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of the edges: component is the smallest node reachable.
-
-    Large-star and small-star rounds (each an aggregate and an equi-join, both of which Spark can
-    split when one node has many edges) until nothing changes; every round is a written table, so
-    the lineage stays short. Nodes are long; null ends are not allowed; loops are ignored.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = written(e, "edges")
-    before = _signature(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        nxt = written(small.where("u > v").distinct(), "edges")
-        after = _signature(nxt)
-        delete(e)
-        e = nxt
-        if after == before:
-            break
-        before = after
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
