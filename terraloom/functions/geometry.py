@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,19 +52,22 @@ def plane_frame(n: tuple[Column, Column, Column]) -> tuple[tuple[Column, ...], t
     return u, cross(n, u)
 
 
-def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues of a symmetric 3x3 matrix, largest first and none below 0 (trigonometric closed form)."""
-    q = (xx + yy + zz) / 3
-    off = xy * xy + xz * xz + yz * yz
-    p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6)
-    a, b, c = xx - q, yy - q, zz - q
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    half = F.when(p > 0, clamp(det / (2 * p * p * p), -1.0, 1.0)).otherwise(F.lit(1.0))
-    phi = F.acos(half) / 3
-    first = q + 2 * p * F.cos(phi)
-    last = q + 2 * p * F.cos(phi + F.lit(2.0943951023931953))
-    middle = 3 * q - first - last
-    return tuple(F.greatest(x, F.lit(0.0)) for x in (first, middle, last))
+def with_eigenvalues(rows: DataFrame, names: tuple[str, ...] = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")) -> DataFrame:
+    """rows with l0, l1, l2: eigenvalues of a symmetric 3x3 matrix, largest first and none below 0.
+
+    Trigonometric closed form, in steps that are columns: each is used several times, so the
+    optimizer keeps them apart and the generated code stays small.
+    """
+    xx, xy, xz, yy, yz, zz = (F.col(n) for n in names)
+    q, p = F.col("_q"), F.col("_p")
+    rows = rows.withColumn("_q", (xx + yy + zz) / 3)
+    rows = rows.withColumns({"_a": xx - q, "_b": yy - q, "_c": zz - q, "_o": xy * xy + xz * xz + yz * yz})
+    a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
+    rows = rows.withColumns({"_p": F.sqrt((a * a + b * b + c * c + 2 * F.col("_o")) / 6), "_d": a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)})
+    rows = rows.withColumn("_t", F.acos(F.when(p > 0, clamp(F.col("_d") / (2 * p * p * p), -1.0, 1.0)).otherwise(F.lit(1.0))) / 3)
+    rows = rows.withColumns({"_f": q + 2 * p * F.cos("_t"), "_l": q + 2 * p * F.cos(F.col("_t") + F.lit(2.0943951023931953))})
+    out = rows.withColumns({"l0": F.greatest(F.col("_f"), F.lit(0.0)), "l1": F.greatest(3 * q - F.col("_f") - F.col("_l"), F.lit(0.0)), "l2": F.greatest(F.col("_l"), F.lit(0.0))})
+    return out.drop("_q", "_a", "_b", "_c", "_o", "_p", "_d", "_t", "_f", "_l")
 
 
 def shape_measures(l0: Column, l1: Column, l2: Column, eps: float = 1e-12) -> dict[str, Column]:

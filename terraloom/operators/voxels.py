@@ -46,9 +46,7 @@ def covariance(m: DataFrame, least: int = 4, floor: float = 1e-9) -> DataFrame:
 
 def shapes(cov: DataFrame) -> DataFrame:
     """Shape measures of each voxel from its covariance."""
-    l0, l1, l2 = g.eigenvalues(*[F.col(f"c{ab}") for ab in ("xx", "xy", "xz", "yy", "yz", "zz")])
-    step = cov.withColumns({"l0": l0, "l1": l1, "l2": l2})
-    return step.withColumns(g.shape_measures(F.col("l0"), F.col("l1"), F.col("l2")))
+    return g.with_eigenvalues(cov).withColumns(g.shape_measures(F.col("l0"), F.col("l1"), F.col("l2")))
 
 
 def offsets(radius: int = 1) -> Column:
@@ -91,15 +89,8 @@ def descriptors(points: DataFrame, size: float) -> DataFrame:
     """
     m = neighbour_sums(moments(points, size), MOMENTS)
     s = shapes(covariance(m))
-    a = {n: F.col(f"c{n}") for n in ("xx", "xy", "xz", "yy", "yz", "zz")}
-
-    def entry(r: str, c: str) -> Column:
-        get = lambda p, q, l: a["".join(sorted(p + q))] - (F.col(l) if p == q else F.lit(0.0))
-        total = get(r, "x", "l0") * get("x", c, "l1")
-        for k in "yz":
-            total = total + get(r, k, "l0") * get(k, c, "l1")
-        return total
-
-    trace = entry("x", "x") + entry("y", "y") + entry("z", "z")
-    nz2 = F.when(F.abs(trace) > 1e-18, g.clamp(entry("z", "z") / trace, 0.0, 1.0)).otherwise(F.lit(0.0))
-    return s.withColumns({"verticality": 1 - F.sqrt(nz2), "density": F.col("n") / F.lit(27.0 * size**3)})
+    get = lambda p, q, l: F.col("c" + "".join(sorted(p + q))) - (F.col(l) if p == q else F.lit(0.0))
+    diagonal = {f"_{c}": sum((get(c, k, "l0") * get(k, c, "l1") for k in "xyz"), F.lit(0.0)) for c in "xyz"}
+    s = s.withColumns(diagonal).withColumn("_t", F.col("_x") + F.col("_y") + F.col("_z"))
+    nz2 = F.when(F.abs("_t") > 1e-18, g.clamp(F.col("_z") / F.col("_t"), 0.0, 1.0)).otherwise(F.lit(0.0))
+    return s.withColumns({"verticality": 1 - F.sqrt(nz2), "density": F.col("n") / F.lit(27.0 * size**3)}).drop("_x", "_y", "_z", "_t")
