@@ -29,7 +29,7 @@ def test_plane_is_planar_and_line_linear(spark):
     line = np.column_stack([rng.uniform(20, 24, 1000), rng.normal(2.25, 0.005, 1000), rng.normal(1.25, 0.005, 1000)])
     df = spark.createDataFrame([tuple(map(float, p)) for p in np.vstack([plane, line])], "x double, y double, z double")
     d = voxels.descriptors(df, 0.5).toPandas()
-    assert d[d.i < 10].planarity.median() > 0.4 and d[d.i < 10].verticality.median() > 0.9
+    assert d[d.i < 10].planarity.median() > 0.4 and d[d.i < 10].verticality.median() < 0.1
     assert d[d.i > 30].linearity.median() > 0.85
 
 
