@@ -45,7 +45,7 @@ def patch_roles(spark, sf):
     return v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), frames.patch_role(F.col("p_partkey") % 90, F.col("p_size") % 5).alias("role"))
 
 
-@query("SELECT p_partkey AS id, round(CASE WHEN m > 2 AND m < 700 THEN m END, 6) AS height FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_size * 3) * 0.3048 END AS m FROM part)")
+@query("SELECT p_partkey AS id, round(CASE WHEN m > 2 AND m < 700 THEN m END, 6) AS height FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_size * 3) * 0.3048::DOUBLE END AS m FROM part)")
 def published_heights(spark, sf):
     raw = F.when(F.col("p_partkey") % 7 == 0, F.lit("n/a")).otherwise((F.col("p_size") * 3).cast("string"))
     return v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R(frames.published_height(raw), 6).alias("height"))

@@ -205,7 +205,7 @@ def tree_instances(spark, sf):
     return t.withColumns({"base": R("base", 6), "spread": R("spread", 6)})
 
 
-@query("SELECT p_partkey AS id, round(least(greatest(p_size * 0.16 + 0.6, 1.2), 7.0), 6) AS radius FROM part")
+@query("SELECT p_partkey AS id, round(least(greatest(p_size * 0.16::DOUBLE + 0.6, 1.2), 7.0), 6) AS radius FROM part")
 def crown_radii(spark, sf):
     return v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R(segmentation.crown_radius(F.col("p_size")), 6).alias("radius"))
 
