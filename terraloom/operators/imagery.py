@@ -25,7 +25,7 @@ def box_mean(pixels: DataFrame, value: str, radius: int) -> DataFrame:
 def delight(pixels: DataFrame, value: str, radius: int) -> DataFrame:
     """pixels with slow changes of light divided out: value times the image's mean over the local mean."""
     whole = pixels.groupBy("image").agg((F.sum(value) / F.count(value)).alias("_g"))
-    p = box_mean(pixels, value, radius).join(F.broadcast(whole), "image")  # a row for each image
+    p = box_mean(pixels, value, radius).join(whole, "image")
     return p.withColumn(value, F.col(value) * F.col("_g") / F.greatest(F.col("mean"), F.lit(1e-6))).drop("_g", "mean")
 
 
