@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if len(counts) < 2:
         return ToxicityModel(decoder, {}, 30.0 if counts.get(1) else -30.0, 1.0)
     pick = reduce(lambda a, b: a | b, [(F.col("y") == y) & share(F.col("k"), per_class[y] / n) for y, n in counts.items()])
-    chosen = said.where(pick)
+    chosen = F.broadcast(said.where(pick))  # about sum(per_class) rows of two numbers at most, whatever the input
     texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(chosen, "k")
     shared = docs.sparkSession.sparkContext.broadcast(decoder)
 
