@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     rows = sorted(texts.select("k", "t", "y").mapInArrow(read, "k long, w string, y int").toArrow().to_pylist(), key=lambda r: (r["k"], r["w"]))
     often = Counter(p for r in rows for p in {p for w in r["w"].split() for p in parts(w)})
-    index = {p: i for i, p in enumerate(sorted(p for p, n in often.items() if n >= 2))}
+    index = {p: i for i, p in enumerate(sorted(p for p, n in often.items() if n >= 3))}
     del often
     examples, fold = [], []
     for i, r in enumerate(rows):
@@ -196,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         fold.append(i % 6)
     fit = [e for e, f in zip(examples, fold, strict=True) if f]
     rest = [e for e, f in zip(examples, fold, strict=True) if not f]
-    model = Ftrl(len(index), 2, alpha=0.5, l1=0.5, l2=0.05).fit(fit, epochs=4)
+    fewest = min(sum(r["y"] == y for r in rows) for y in (0, 1))
+    model = Ftrl(len(index), 2, alpha=0.3, l1=min(6.0, max(0.5, 0.02 * fewest)), l2=0.05).fit(fit, epochs=4)
     w = model.weights()
     t = temperature(np.array([model.logits(h, v, w) for h, v, _ in rest]), np.array([y for _, _, y in rest], int)) if rest else 1.0
     d = w[:, 1] - w[:, 0]
