@@ -22,11 +22,13 @@ from .common import new_path, text_or_empty, written
 from .tokens import encoder
 
 MAGIC, VERSION, BLOCK = b"TLS8", 1, 128
+#: Blocks that are coded or decoded at once: working memory is a few MB, whatever a file's size.
+AT_ONCE = 1024
 #: Ids in a word and their bits, by selector.
 SELECTORS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 64])
 ESCAPE = 15
-#: Ids in one file, about: memory for coding and decoding is a small multiple of it.
+#: Ids in one file, about; a file is held in memory when it is written and when it is read.
 FILE_IDS = 2_000_000
 
 
@@ -141,24 +143,65 @@ def decode(words: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def to_file(lengths: list[int], ids: np.ndarray) -> bytes:
-    words, first = encode(ids)
-    head = MAGIC + np.array([VERSION, len(lengths), len(first)], "<u4").tobytes() + np.array([len(words)], "<u8").tobytes()
-    return head + np.array(lengths, "<u4").tobytes() + first.astype("<u4").tobytes() + words.astype("<u8").tobytes()
+class FileBuilder:
+    """A token file in the making: ids are coded as they come, some blocks at a time."""
+
+    def __init__(self) -> None:
+        self.lengths: list[int] = []
+        self.held, self.pending, self.waiting, self.words = 0, [], 0, 0
+        self.parts: list[bytes] = []
+        self.firsts: list[np.ndarray] = []
+
+    def add(self, ids: bytes) -> None:
+        """One document's ids, as little-endian uint32."""
+        self.lengths.append(len(ids) // 4)
+        self.held += len(ids) // 4
+        self.pending.append(ids)
+        self.waiting += len(ids) // 4
+        if self.waiting >= AT_ONCE * BLOCK:
+            self._code(AT_ONCE * BLOCK)
+
+    def _code(self, step: int) -> None:
+        ids = np.frombuffer(b"".join(self.pending), "<u4")
+        whole = len(ids) // step * step
+        for at in range(0, whole, step):
+            words, first = encode(ids[at : at + step])
+            self.firsts.append((first + self.words).astype("<u4"))
+            self.parts.append(words.astype("<u8").tobytes())
+            self.words += len(words)
+        self.pending, self.waiting = [ids[whole:].tobytes()], len(ids) - whole
+
+    def to_bytes(self) -> bytes:
+        if self.waiting:
+            self._code(AT_ONCE * BLOCK)
+        if self.waiting:
+            self._code(self.waiting)
+        first = np.concatenate([np.zeros(0, "<u4"), *self.firsts]).astype("<u4")
+        head = MAGIC + np.array([VERSION, len(self.lengths), len(first)], "<u4").tobytes() + np.array([self.words], "<u8").tobytes()
+        return b"".join([head, np.array(self.lengths, "<u4").tobytes(), first.tobytes(), *self.parts])
 
 
 def from_file(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(document lengths, ids)."""
-    if blob[:4] != MAGIC:
+    """(document lengths, ids): ids are uint32 where all fit, else uint64."""
+    if bytes(blob[:4]) != MAGIC:
         raise ValueError("not a token file")
     version, documents, blocks = np.frombuffer(blob, "<u4", 3, 4)
     if version != VERSION:
         raise ValueError(f"version {version}")
     (words,) = np.frombuffer(blob, "<u8", 1, 16)
     lengths = np.frombuffer(blob, "<u4", int(documents), 24)
-    first = np.frombuffer(blob, "<u4", int(blocks), 24 + 4 * int(documents))
-    body = np.frombuffer(blob, "<u8", int(words), 24 + 4 * (int(documents) + int(blocks)))
-    return lengths, decode(body, first, int(lengths.sum(dtype=np.int64)))
+    first = np.frombuffer(blob, "<u4", int(blocks), 24 + 4 * int(documents)).astype(np.int64)
+    body = np.frombuffer(blob[24 + 4 * (int(documents) + int(blocks)) :], "<u8", int(words))
+    total = int(lengths.sum(dtype=np.int64))
+    out = np.zeros(total, np.uint32)
+    ends = np.append(first, len(body))
+    for at in range(0, len(first), AT_ONCE):
+        upto = min(at + AT_ONCE, len(first))
+        part = decode(body[ends[at] : ends[upto]], first[at:upto] - first[at], min(total, upto * BLOCK) - at * BLOCK)
+        if out.dtype == np.uint32 and len(part) and part.max() > 0xFFFFFFFF:
+            out = out.astype(np.uint64)
+        out[at * BLOCK : at * BLOCK + len(part)] = part
+    return lengths, out
 
 
 def _filesystem(path: str):
@@ -186,30 +229,27 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, tex
         part, number = task.partitionId(), 0
         store, root = _filesystem(path)
         store.create_dir(root, recursive=True)
-        keys, lengths, buffer, held = [], [], [], 0
+        keys, file = [], FileBuilder()
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, keys, lengths, buffer, held
+            nonlocal number, keys, file
             name = f"{root}/part-{part:06d}-{number:05d}.tls8"
             own = f"{root}/_{part:06d}-{number:05d}-{task.taskAttemptId()}"
             with store.open_output_stream(own) as f:
-                f.write(to_file(lengths, np.frombuffer(b"".join(buffer), "<u4")))
+                f.write(file.to_bytes())
             store.move(own, name)
-            n = len(lengths)
+            n = len(file.lengths)
             out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.concat_arrays(keys).slice(0, n)], names=["part", "file", "row", "k"])
-            number, keys, lengths, buffer, held = number + 1, [], [], [], 0
+            number, keys, file = number + 1, [], FileBuilder()
             return out
 
         for batch in batches:
             for i, ids in enumerate(enc.batch(x.as_py() for x in batch.column(1))):
-                ids += end
+                file.add(ids + end)
                 keys.append(batch.column(0).slice(i, 1))
-                lengths.append(len(ids) // 4)
-                buffer.append(ids)
-                held += len(ids) // 4
-                if held >= file_ids:
+                if file.held >= file_ids:
                     yield flush()
-        if lengths:
+        if file.lengths:
             yield flush()
 
     return ranged.mapInArrow(write, f"part int, file int, row int, k {kind}")
@@ -223,8 +263,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, blob in zip(batch.column(0), batch.column(1), strict=True):
                 part, number = os.path.basename(name.as_py())[5:-5].split("-")
-                lengths, ids = from_file(blob.as_buffer())
-                raw, n = memoryview(ids.astype("<u4").tobytes()), len(lengths)
+                lengths, ids = from_file(memoryview(blob.as_buffer()))
+                raw, n = memoryview(ids.astype("<u4", copy=False).tobytes()), len(lengths)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(part)] * n, pa.int32()), pa.array([int(number)] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "file", "row", "within", "n_tokens", "ids_crc32"])
