@@ -23,7 +23,7 @@ from .common import delete, share, text_or_empty, written
 from .components import components, union
 
 #: Fingerprints that a leaf has of its own, about, and at most leaves; rows of one block of a leaf.
-LEAF, MOST_LEAVES, BLOCK = 512, 1 << 15, 2048
+LEAF, MOST_LEAVES, BLOCK = 512, 1 << 15, 1 << 15
 #: The trees are built from a sample of this many fingerprints for each leaf; all are routed.
 SAMPLE = 16
 
@@ -84,8 +84,9 @@ def halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def build_tree(sample: np.ndarray, leaf: int, radius: int, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage point, threshold, left, right), the root first; a child below 0 is leaf -1 - child.
 
-    Of a few candidate vantage points and thresholds, the one whose boundary holds least of the
-    sample, with at least a fifth of it on either side. A part that none divides is a leaf.
+    Of a few candidate vantage points and thresholds, the one with the least copies for what it
+    tells: the logarithm of one plus the boundary's share, over the entropy of the division. A part
+    that none divides well is a leaf.
     """
     nodes: list[tuple[int, int, int, int]] = []
     leaves = 0
@@ -95,13 +96,13 @@ def build_tree(sample: np.ndarray, leaf: int, radius: int, rng: np.random.Genera
         best = None
         if len(part) > leaf:
             for vp in rng.choice(part, min(8, len(part)), replace=False):
-                count = np.bincount(np.bitwise_count(part ^ vp), minlength=33)
-                upto = np.cumsum(count)
+                upto = np.cumsum(np.bincount(np.bitwise_count(part ^ vp), minlength=33)) / len(part)
                 for t in range(32):
-                    if min(upto[t], len(part) - upto[t]) >= len(part) / 5:
+                    p = upto[t]
+                    if 0.2 <= p <= 0.8:
                         both = upto[min(32, t + radius)] - (upto[t - radius] if t >= radius else 0)
-                        cost = both + 0.1 * abs(2 * upto[t] - len(part))
-                        if both < 0.8 * len(part) and (best is None or cost < best[0]):
+                        cost = np.log2(1 + both) / -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+                        if both < 0.8 and (best is None or cost < best[0]):
                             best = (cost, vp, t)
         if best is None:
             leaves += 1
