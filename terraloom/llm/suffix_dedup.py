@@ -7,8 +7,10 @@ whose bytes are its fragment. Anchors seen once have no equal window and are dro
 fragments seen more than once are repeated as a whole. What is left, different fragments with an
 equal anchor, is what borders on shared passages: those fragments are sorted by suffixes in shards
 of bounded size (suffix_sort), and adjacent suffixes with a common prefix of LENGTH bytes mark the
-windows that repeat. An anchor with very many different fragments is dealt to several shards; each
-also tells the hashes of its different windows, which are counted across shards.
+windows that repeat. An anchor with very many different fragments is dealt to several shards. Equal
+windows in two of them share the bytes left and right of the anchor, so how far each fragment can
+agree with any other on either side, by its neighbours in two sorted orders, leaves few windows
+open; of those each shard tells the hashes, which are counted across shards.
 """
 
 from __future__ import annotations
@@ -68,8 +70,8 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, n
 
 
 def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, f, k, t, lo, size, c): fragments by anchor hash h and content hash f; with h null, spans
-    of a document that repeat within itself."""
+    """(h, f, k, t, lo, size, c, at): fragments by anchor hash h and content hash f, with the anchor at
+    `at` in them; with h null, spans of a document that repeat within itself."""
     from xxhash import xxh3_64_intdigest  # noqa: F401  fails here rather than in a task
 
     kind = docs.schema["k"].dataType.simpleString()
@@ -88,21 +90,21 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                 f = np.array([xxh3_64_intdigest(raw[a:b], s) for a, b, s in zip(lo.tolist(), (lo + size).tolist(), (place - lo).tolist(), strict=True)], np.uint64).view(np.int64)
                 order = np.lexsort((lo, f, h))
                 first = np.append(True, (h[order][1:] != h[order][:-1]) | (f[order][1:] != f[order][:-1]))
-                at = np.flatnonzero(first)
-                count = np.diff(np.append(at, len(order)))
-                one = order[at]
-                out.append([np.full(len(one), i), h[one], f[one], lo[one], size[one], count, np.zeros(len(one), bool)])
+                starts = np.flatnonzero(first)
+                count = np.diff(np.append(starts, len(order)))
+                one = order[starts]
+                out.append([np.full(len(one), i), h[one], f[one], lo[one], size[one], count, (place - lo)[one], np.zeros(len(one), bool)])
                 if len(one) < len(order):
                     rest = np.setdiff1d(order, one)
                     s, e = merge(lo[rest], lo[rest] + size[rest])
                     zero = np.zeros(len(s), np.int64)
-                    out.append([np.full(len(s), i), zero, zero, s, e - s, zero, np.ones(len(s), bool)])
+                    out.append([np.full(len(s), i), zero, zero, s, e - s, zero, zero, np.ones(len(s), bool)])
             if out:
-                i, h, f, lo, size, count, local = (np.concatenate(x) for x in zip(*out, strict=True))
+                i, h, f, lo, size, count, at, local = (np.concatenate(x) for x in zip(*out, strict=True))
                 i = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(h, mask=local), pa.array(f), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo, pa.int32()), pa.array(size, pa.int32()), pa.array(count, pa.int32())], names=["h", "f", "k", "t", "lo", "size", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, mask=local), pa.array(f), batch.column(0).take(i), batch.column(1).take(i), pa.array(lo, pa.int32()), pa.array(size, pa.int32()), pa.array(count, pa.int32()), pa.array(at, pa.int32())], names=["h", "f", "k", "t", "lo", "size", "c", "at"])
 
-    return docs.select("k", "t", "b").mapInArrow(run, f"h long, f long, k {kind}, t long, lo int, size int, c int")
+    return docs.select("k", "t", "b").mapInArrow(run, f"h long, f long, k {kind}, t long, lo int, size int, c int, at int")
 
 
 def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,57 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"])
 
 
+def _reaches(fragments: DataFrame) -> DataFrame:
+    """(h, f, left, right): how many bytes before its anchor, and from it on, a fragment (h, f, part, at) can share with
+    any other one of its anchor at most. Fragments are sorted by either side, in ranges that split equal ones as
+    well; the longest common prefix is with a neighbour. At the ends of a range it isn't known, and unbounded."""
+    parts = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unknown = 1 << 30
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, f, part, at = (batch.column(i) for i in range(4))
+            pairs = [(p[:a][::-1], p[a:]) for p, a in zip(part.to_pylist(), at.to_pylist(), strict=True)]
+            for side in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(h), pa.int8()), h, f, pa.array([x[side] for x in pairs], pa.binary())], names=["side", "h", "f", "b"])
+
+    def shared(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+        return n - (differ.bit_length() + 7) // 8
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, far = None, unknown  # the last row seen, and what it shares with the one before it
+
+        def row(group: tuple, f: int, reach: int) -> tuple:
+            return (*group, f, reach)
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["side", "h", "f", "reach"])
+
+        for batch in batches:
+            rows = []
+            for side, h, f, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                near = 0
+                if before:
+                    if before[0] == (side, h):
+                        near = shared(before[2], b)
+                    rows.append(row(before[0], before[1], max(far, near)))
+                    far = near
+                before = ((side, h), f, b)
+            yield table(rows)
+        if before:
+            yield table([row(before[0], before[1], unknown)])
+
+    order = ["side", "h", "b", "f"]
+    keys = fragments.select("h", "f", "part", "at").dropDuplicates(["h", "f"]).mapInArrow(sides, "side tinyint, h long, f long, b binary")
+    found = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "side tinyint, h long, f long, reach int")
+    return found.groupBy("h", "f").agg(F.max(F.when(F.col("side") == 0, F.col("reach"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("reach"))).alias("right"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(k, t, s, e): spans of repeated bytes, by document; they may overlap. docs: k, t (hash of the text), b (its bytes)."""
     rows = written(_anchor_rows(docs, length, k), "anchors")
@@ -145,21 +198,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     fragments = rows.where("h IS NOT NULL")
     often = fragments.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
     found = written(fragments.join(often, "h"), "candidates")
-    kinds = written(found.groupBy("h", "f").agg(F.sum("c").alias("c"), F.min(F.struct("k", "t", "lo", "size")).alias("r")), "fragments")
+    kinds = written(found.groupBy("h", "f").agg(F.sum("c").alias("c"), F.min(F.struct("k", "t", "lo", "size", "at")).alias("r")), "fragments")
     whole = kinds.where("c > 1").select("h", "f")
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("nf")).where("nf > 1")
-    asked = kinds.join(several, "h").select("h", "f", (F.col("c") > 1).alias("known"), "nf", F.col("r.k").alias("k"), F.col("r.t").alias("t"), F.col("r.lo").alias("lo"), F.col("r.size").alias("size"))
-    asked = written(asked.groupBy("k", "t").agg(F.collect_list(F.struct("h", "f", "known", "nf", "lo", "size")).alias("items")), "asked")
+    asked = kinds.join(several, "h").select("h", "f", (F.col("c") > 1).alias("known"), "nf", F.col("r.k").alias("k"), F.col("r.t").alias("t"), F.col("r.lo").alias("lo"), F.col("r.size").alias("size"), F.col("r.at").alias("at"))
+    asked = written(asked.groupBy("k", "t").agg(F.collect_list(F.struct("h", "f", "known", "nf", "lo", "size", "at")).alias("items")), "asked")
     texts = _matching(docs, asked.select("k", "t"))
     met = texts.join(asked, _same_document(texts, asked)).select(texts["b"], asked["items"])
-    part = F.expr("slice(transform(items, x -> struct(x.h, x.f, x.known, x.nf, substring(b, x.lo + 1, x.size) AS part)), 1, size(items))")
-    cut = met.select(F.explode(part).alias("x")).select("x.*")
+    part = F.expr("transform(items, x -> struct(x.h, x.f, x.known, x.nf, x.at, substring(b, x.lo + 1, x.size) AS part))")
+    cut = written(met.select(F.explode(part).alias("x")).select("x.*"), "fragment-bytes")
+    crowded = F.col("nf") > SHARD
     shards = F.ceil(F.col("nf") / SHARD)
-    cut = cut.withColumn("shards", shards.cast("int")).withColumn("shard", F.pmod(F.xxhash64("f"), shards).cast("int"))
+    spread = cut.where(crowded).join(_reaches(cut.where(crowded)), ["h", "f"]).withColumn("shard", F.pmod(F.xxhash64("f"), shards).cast("int"))
+    cut = cut.where(~crowded).withColumns({"left": F.lit(-1), "right": F.lit(-1), "shard": F.lit(0)}).unionByName(spread)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "f", "a", "z", "w1", "w2", "open"]
-        group: dict[tuple[int, int], tuple[bytes, bool, bool]] = {}
+        group: dict[tuple[int, int], tuple[bytes, bool, int, int, int]] = {}
         held, last = 0, None
 
         def flush() -> pa.RecordBatch:
@@ -169,15 +224,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             repeated, leader = repeated_windows([x[0] for x in items], length)
             out: list[tuple] = []
             at = 0
-            for (h, f), (part, known, spread) in zip(keys, items, strict=True):
+            for (h, f), (part, known, anchor, left, right) in zip(keys, items, strict=True):
                 windows = len(part) - length + 1
                 mine = np.zeros(windows + 2, np.int8)
                 mine[1:-1] = repeated[at : at + windows]
                 edge = np.diff(mine)
                 if not known:
                     out += [(h, f, a, z - 1, None, None, False) for a, z in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-                if spread:  # other shards may hold equal windows: one of each kind here is told
-                    for a in np.flatnonzero(leader[at : at + windows]).tolist():
+                if left >= 0:  # other shards may hold equal windows: one of each kind here is told, if it can be
+                    low, high = max(0, anchor - left), min(windows - 1, anchor + right - length)
+                    for a in (low + np.flatnonzero(leader[at + low : at + high + 1])).tolist():
                         w = xxh3_128_intdigest(part[a : a + length])
                         w1, w2 = (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
                         out.append((h, f, a, a, w1, w2, not (known or mine[a + 1])))
@@ -187,20 +243,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for h, f, known, part, shards_, shard in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for h, f, known, part, anchor, left, right, shard in zip(*columns, strict=True):
                 if (h, shard) != last and held > CHUNK:
                     yield flush()
                     held = 0
                 last = (h, shard)
                 if (h, f) not in group:
-                    group[h, f] = (part, known, shards_ > 1)
+                    group[h, f] = (part, known, anchor, left, right)
                     held += len(part) + 1
         if group:
             yield flush()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.select("h", "f", "known", "part", "shards", "shard").repartition(parts, "h", "shard").sortWithinPartitions("h", "shard", "f")
+    dealt = cut.select("h", "f", "known", "part", "at", "left", "right", "shard").repartition(parts, "h", "shard").sortWithinPartitions("h", "shard", "f")
     sorted_ = written(dealt.mapInArrow(sort, "h long, f long, a int, z int, w1 long, w2 long, open boolean"), "windows")
     across = sorted_.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     more = sorted_.where("open").join(across, ["w1", "w2"]).select("h", "f", "a", "z")
