@@ -5,7 +5,8 @@ label's vectors: a vector's own cell is its nearest pivot's. By the triangle ine
 within r of a vector x of cell p is at most 2r farther from p than from its own pivot, so a vector
 is replicated to cell p only if d(v, p) <= d(v, nearest) + 2r. In Euclidean space the boundary can
 be drawn closer: only vectors within r of the hyperplane between the two pivots can have a partner
-beyond it. Both bounds are applied. Then each cell is joined apart, own vectors against all.
+beyond it. Both bounds are applied. Then each cell is joined apart, own vectors against all. In many
+dimensions most vectors are near most boundaries, so cells are large, and joined in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import share, written
 from .components import components, union
 
 #: Vectors that a cell has of its own, about; pivots of a label at most; rows of one block of a cell.
-CELL, MOST_PIVOTS, BLOCK = 256, 1024, 384
+CELL, MOST_PIVOTS, BLOCK = 8192, 1024, 1024
 #: Pivots in all at most, which bounds what is broadcast.
 ALL_PIVOTS = 16384
 
@@ -53,6 +54,7 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", emb
     """
     spark = vectors.sparkSession
     radius = float(np.sqrt(2 - 2 * least))
+    item = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"  # what is sent
     kind = vectors.schema[key].dataType.simpleString()
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), F.col(embedding).cast("array<double>").alias("v"))
     usable = F.col("l").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -97,9 +99,9 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", emb
                 p = shared.value.get((name, size))
                 row, cell, own = cells(unit, p) if p is not None else (np.arange(len(at)), np.zeros(len(at), int), np.ones(len(at), bool))
                 take = pa.array(np.array(at)[row])
-                yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{size}"] * len(row)), pa.array(cell, pa.int32()), pa.array(own), node.take(take), vecs.take(take), n.take(take)], names=["l", "cell", "own", "node", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{size}"] * len(row)), pa.array(cell, pa.int32()), pa.array(own), node.take(take), vecs.take(take).cast(pa.list_(pa.float32() if item == "float" else pa.float64())), n.take(take)], names=["l", "cell", "own", "node", "v", "n"])
 
-    sent = written(groups.select("node", "l", "v", "n").mapInArrow(send, "l string, cell int, own boolean, node long, v array<double>, n long"), "cells")
+    sent = written(groups.select("node", "l", "v", "n").mapInArrow(send, f"l string, cell int, own boolean, node long, v array<{item}>, n long"), "cells")
     blocks = sent.groupBy("l", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("b"))
     dealt = sent.join(blocks, ["l", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
     span = F.sequence(F.lit(0), F.col("b") - 1)
@@ -110,7 +112,7 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", emb
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", kind="stable", ignore_index=True)
         asks, node, n = rows["asks"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy()
-        x = np.stack(rows["v"].to_numpy())
+        x = np.stack(rows["v"].to_numpy()).astype(float)
         length = np.linalg.norm(x, axis=1)
         mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
         labels, count = np.arange(len(rows)), np.zeros(len(rows), np.int64)
