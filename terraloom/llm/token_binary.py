@@ -33,13 +33,11 @@ FILE_IDS = 2_000_000
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.int8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        large = rest >= np.uint64(1 << step)
-        out[large] += step
-        rest[large] >>= np.uint64(step)
-    return out + (rest > 0)
+    """How many bits each id has: the exponent of a float, exact below 2^53, and counted above."""
+    out = np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+    for i in np.flatnonzero(ids >= np.uint64(1 << 53)).tolist():
+        out[i] = int(ids[i]).bit_length()
+    return out
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,33 +70,32 @@ def _encode(ids: np.ndarray, width: np.ndarray, size: np.ndarray) -> tuple[np.nd
         p = 1 << (n.bit_length() - 1)
         wide = widest[p]
         over = np.maximum(wide[:, :BLOCK], wide[:, n - p : n - p + BLOCK])
-        best[over <= WIDTHS[s]] = s
-    at, row = np.zeros(blocks, np.int64), np.arange(blocks)
-    flat = np.concatenate([ids, np.zeros((blocks, 60), np.uint64)], axis=1)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    filled = np.zeros(blocks, np.int64)
+        np.copyto(best, np.int8(s), where=over <= WIDTHS[s])
+    # all blocks advance together, a word a step; words are filled in afterwards, a selector at a time
+    at, row, filled = np.zeros(blocks, np.int64), np.arange(blocks), np.zeros(blocks, np.int64)
+    steps: list[tuple[np.ndarray, ...]] = []
     while len(row):
-        s = best[row, at[row]]
-        word = s.astype(np.uint64)
-        for k in np.unique(s).tolist():
-            if k == ESCAPE:
-                continue
-            mine = row[s == k]
-            n, w = int(SELECTORS[k]), int(WIDTHS[k])
-            part = flat[mine[:, None], at[mine][:, None] + np.arange(n)]
-            word[s == k] |= np.bitwise_or.reduce(part << (np.arange(n, dtype=np.uint64) * np.uint64(w) + np.uint64(4)), axis=1)
-        steps.append((row, word))
-        filled[row] += 1
-        if len(esc := row[s == ESCAPE]):
-            steps.append((esc, flat[esc, at[esc]]))
-            filled[esc] += 1
-        at[row] += SELECTORS[s]
-        row = row[at[row] < size[row]]
+        here = at[row]
+        s = best[row, here]
+        steps.append((row, here, s, filled[row]))
+        filled[row] += 1 + (s == ESCAPE)
+        at[row] = here = here + SELECTORS[s]
+        row = row[here < size[row]]
     first = np.cumsum(filled) - filled
-    words, next_ = np.empty(int(filled.sum()), np.uint64), first.copy()
-    for rows, word in steps:
-        words[next_[rows]] = word
-        next_[rows] += 1
+    row, here, s, place = (np.concatenate(x) for x in zip(*steps, strict=True))
+    place += first[row]
+    flat = np.concatenate([ids, np.zeros((blocks, 60), np.uint64)], axis=1).ravel()
+    here += row * (BLOCK + 60)
+    words = np.empty(int(filled.sum()), np.uint64)
+    for k in np.unique(s).tolist():
+        mine = np.flatnonzero(s == k)
+        if k == ESCAPE:
+            words[place[mine]], words[place[mine] + 1] = np.uint64(ESCAPE), flat[here[mine]]
+            continue
+        word, w = np.full(len(mine), k, np.uint64), int(WIDTHS[k])
+        for n in range(int(SELECTORS[k])):
+            word |= flat[here[mine] + n] << np.uint64(4 + n * w)
+        words[place[mine]] = word
     return words, first.astype(np.uint32)
 
 

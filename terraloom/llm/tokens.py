@@ -36,7 +36,7 @@ class Encoder:
     the usual pattern, or that normalise, get whole texts instead.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
