@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                     out += [(h, f, a, z - 1, None, None, False) for a, z in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
                 if left >= 0:  # other shards may hold equal windows: one of each kind here is told, if it can be
                     low, high = max(0, anchor - left), min(windows - 1, anchor + right - length)
-                    for a in (low + np.flatnonzero(leader[at + low : at + high + 1])).tolist():
+                    for a in (low + np.flatnonzero(leader[at + low : at + max(low, high + 1)])).tolist():
                         w = xxh3_128_intdigest(part[a : a + length])
                         w1, w2 = (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
                         out.append((h, f, a, a, w1, w2, not (known or mine[a + 1])))
