@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ GAPS = " .-_*~/\\'"
 SYMBOLS = 28
 #: Logarithms of the channel: a sign for a letter, an added gap, an added repeat, a gap that is real.
 SIGN, GAP, REPEAT, REAL = -1.0, -0.3, -0.7, -2.0
-#: Longest span to be decoded; longer ones stay as they are (keys, hashes, numbers). Labelled texts used of each class.
-LONGEST, PER_CLASS = 40, {1: 2500, 0: 5000}
+#: Labelled texts used of each class.
+PER_CLASS = {1: 2500, 0: 5000}
 
 _SIGNS = re.escape("".join(LEET))
 _GAP = f"[{re.escape(GAPS)}]"
@@ -56,6 +56,11 @@ def symbols(text: str) -> np.ndarray:
     return np.where(c < 0x250, _SYMBOL[np.minimum(c, 0x24F)], 27).astype(np.int32)
 
 
+@lru_cache(maxsize=4096)
+def symbol(letter: str) -> int:
+    return int(symbols(letter)[1])
+
+
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often each three symbols follow each other, over the whole texts of all rows."""
     size = SYMBOLS**3
@@ -89,37 +94,44 @@ class Decoder:
         self.cache: dict[str, tuple[str, ...]] = {}
 
     def decode(self, span: str) -> str:
-        """span restored; the same as span where nothing in it is likelier than what it says."""
+        """span restored; the same as span where nothing in it is likelier than what it says.
+
+        The states are bounded by the symbols, and each has its text as a chain shared with others, so
+        time and memory grow with the span's length."""
         lm = self.lm
-        # a state is (symbol before last, last symbol, last letter as written); its value is (score, letters so far)
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        # a state is (symbol before last, last symbol, last letter as written); its value is (score, (text before, last piece))
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c in span.lower():
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
-            def reach(state: tuple[int, int, str], score: float, text: str, after=after) -> None:
+            def reach(state: tuple[int, int, str], score: float, text: tuple | None, after=after) -> None:
                 if state not in after or after[state][0] < score:
                     after[state] = (score, text)
 
-            letters = [(c, 0.0)] if c.isalpha() else [(x, SIGN) for x in LEET.get(c, "")]
+            letters = [(c, symbol(c), 0.0)] if c.isalpha() else [(x, symbol(x), SIGN) for x in LEET.get(c, "")]
             for (a, b, last), (score, text) in states.items():
-                for x, cost in letters:
-                    s = int(symbols(x)[1])
-                    reach((b, s, x), score + cost + lm[a][b][s], text + x)
+                for x, s, cost in letters:
+                    reach((b, s, x), score + cost + lm[a][b][s], (text, x))
                     if x == last:
                         reach((a, b, last), score + cost + REPEAT, text)
                 if c in GAPS:
                     if text:
                         reach((a, b, ""), score + GAP, text)
-                    reach((b, 0, ""), score + REAL + lm[a][b][0], text + " ")
+                    reach((b, 0, ""), score + REAL + lm[a][b][0], (text, " "))
                 elif not letters:
-                    reach((b, 0, ""), score + lm[a][b][0], text + c)
+                    reach((b, 0, ""), score + lm[a][b][0], (text, c))
             states = after
-        return max(((score + self.lm[a][b][0], text) for (a, b, _), (score, text) in states.items()), default=(0.0, span))[1]
+        text = max(((score + lm[a][b][0], k, text) for k, ((a, b, _), (score, text)) in enumerate(states.items())), default=(0.0, 0, None))[2]
+        pieces = []
+        while text:
+            text, piece = text
+            pieces.append(piece)
+        return "".join(reversed(pieces))
 
     def word(self, token: str) -> str:
         """A word without white space, decoded if it looks disguised; signs after its last letter stay."""
         core = _CORE.search(token)
-        if core and len(core[0]) <= LONGEST and _DISGUISED.search(core[0]):
+        if core and _DISGUISED.search(core[0]):
             return token[: core.start()] + self.decode(core[0]) + token[core.end() :]
         return token
 
@@ -129,7 +141,7 @@ class Decoder:
 
     def joined(self, text: str) -> str:
         """Letters set apart brought together; white space stays where the model finds it likelier."""
-        return _SPACED.sub(lambda m: self.decode(m[0]) if len(m[0]) <= LONGEST else m[0], text)
+        return _SPACED.sub(lambda m: self.decode(m[0]), text)
 
     def words(self, text: str) -> set[str]:
         """The different words of the restored text, in lower case."""

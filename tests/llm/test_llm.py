@@ -392,6 +392,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), m).count() == 0
 
 
+def decoder():
+    """A decoder whose character model has read a few words in all orders of two."""
+    said = "you are a stupid worthless idiot and a moron or clown who said that the house by the lake is old".split()
+    counts = np.zeros((toxicity.SYMBOLS,) * 3)
+    for a in said:
+        for b in said:
+            s = toxicity.symbols(f"{a} {b}")
+            np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
+    return toxicity.Decoder(counts)
+
+
+def test_toxicity_decodes_spans_of_any_length():
+    d = decoder()
+    for words in ("you worthless idiot", "you are a stupid worthless idiot", "the old house by the lake and you are a stupid worthless idiot"):
+        got = d.words(" ".join(words.replace(" ", "")))
+        assert {"worthless", "idiot"} <= got, got
+    assert "stupid" in d.words("stu" + "p" * 45 + "id")
+    for gap in "/-":
+        assert "idiot" in d.words(gap.join("the old house by the lake and the house 1d10t by the lake is old".split()))
+    assert "idiot" in d.words("old " + " ".join("house" * 200) + " " + " ".join("idiot")) and len(d.decode("a1" * 20_000)) > 0
+
+
 # --- licences
 
 
