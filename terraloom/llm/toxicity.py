@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -25,21 +26,30 @@ LEET = {
 GAPS = " .-_*~/\\'"
 #: Symbols of the character model: 0 is any gap, 1 to 26 letters, 27 any other letter.
 SYMBOLS = 28
-#: Logarithms of the channel: a sign for a letter, an added gap, an added repeat, a gap that is real.
-SIGN, GAP, REPEAT, REAL = -1.0, -0.3, -0.7, -2.0
+#: Logarithms of the channel: a sign for a letter, an added gap, an added repeat, a gap that is real, a sign after the last letter that is real.
+SIGN, GAP, REPEAT, REAL, LITERAL = -1.0, -0.3, -0.7, -2.0, -4.0
 #: Labelled texts used of each class.
 PER_CLASS = {1: 2500, 0: 5000}
 
 _SIGNS = re.escape("".join(LEET))
-_GAP = f"[{re.escape(GAPS)}]"
-#: l e t t e r s apart
-_SPACED = re.compile(rf"\b[^\W\d_]{_GAP}(?:{_GAP}?[^\W\d_]{_GAP}{{1,2}})+[^\W\d_]\b")
-#: Signs within or before letters, gaps between single letters, and repeats, in a word.
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}|(?:[^\W\d_]{_GAP}){{2}}[^\W\d_]|([^\W\d_])\1\1", re.IGNORECASE)
-_CORE = re.compile(rf"[\w{_SIGNS}](?:.*[\w@$€£¥§])?", re.DOTALL)
+_GAP = f"[{re.escape(GAPS)}\\s]"
+#: A letter, or a sign for one.
+_UNIT = rf"(?:[^\W\d_]|[{_SIGNS}])"
+#: l e t t e r s or signs for them apart
+_SPACED = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_GAP}++{_UNIT}(?![^\W_])){{2,}}+")
+_LETTER, _SIGN = re.compile(r"[^\W\d_]"), re.compile(f"[{_SIGNS}]")
+#: Gaps between single letters, and repeats, in a word.
+_DISGUISED = re.compile(rf"[^\W\d_]{_GAP}++[^\W\d_]{_GAP}++[^\W\d_]|([^\W\d_])\1\1", re.IGNORECASE)
+_CORE = re.compile(rf"[\w{_SIGNS}](?:.*[\w{_SIGNS}])?", re.DOTALL)
+_ENDS = "".join(LEET) + GAPS + string.whitespace
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _disguised(span: str) -> bool:
+    """Whether letters and signs for letters mix in span, or its letters are set apart or repeated."""
+    return bool(_LETTER.search(span) and (_SIGN.search(span) or _DISGUISED.search(span)))
+
+
 def _table() -> np.ndarray:
     t = np.zeros(0x250, np.uint8)
     for c in range(0x250):
@@ -101,7 +111,9 @@ class Decoder:
         lm = self.lm
         # a state is (symbol before last, last symbol, last letter as written); its value is (score, (text before, last piece))
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
-        for c in span.lower():
+        lower = span.lower()
+        end = next((i for i in range(len(lower) - 1, -1, -1) if lower[i].isalpha()), 0)
+        for i, c in enumerate(lower):
             after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
             def reach(state: tuple[int, int, str], score: float, text: tuple | None, after=after) -> None:
@@ -114,12 +126,12 @@ class Decoder:
                     reach((b, s, x), score + cost + lm[a][b][s], (text, x))
                     if x == last:
                         reach((a, b, last), score + cost + REPEAT, text)
-                if c in GAPS:
+                if c in GAPS or c.isspace():
                     if text:
                         reach((a, b, ""), score + GAP, text)
                     reach((b, 0, ""), score + REAL + lm[a][b][0], (text, " "))
-                elif not letters:
-                    reach((b, 0, ""), score + lm[a][b][0], (text, c))
+                elif not letters or (i > end and not c.isalpha()):
+                    reach((b, 0, ""), score + (LITERAL if letters else 0.0) + lm[a][b][0], (text, c))
             states = after
         text = max(((score + lm[a][b][0], k, text) for k, ((a, b, _), (score, text)) in enumerate(states.items())), default=(0.0, 0, None))[2]
         pieces = []
@@ -128,20 +140,25 @@ class Decoder:
             pieces.append(piece)
         return "".join(reversed(pieces))
 
-    def word(self, token: str) -> str:
-        """A word without white space, decoded if it looks disguised; signs after its last letter stay."""
+    def readings(self, span: str) -> list[str]:
+        """span restored, and what it is without signs at its ends if that is another reading ('idiot!' is no 'idioti')."""
+        bare = span.strip(_ENDS)
+        return [self.decode(span), *([self.decode(bare) if _disguised(bare) else bare] if len(bare) < len(span) else [])]
+
+    def word(self, token: str) -> list[str]:
+        """The readings of a word without white space; the word itself where nothing looks disguised."""
         core = _CORE.search(token)
-        if core and _DISGUISED.search(core[0]):
-            return token[: core.start()] + self.decode(core[0]) + token[core.end() :]
-        return token
+        if core and _disguised(core[0]):
+            return [token[: core.start()] + x + token[core.end() :] for x in self.readings(core[0])]
+        return [token]
 
     def restore(self, text: str) -> str:
         """The whole text with its disguised words decoded."""
-        return re.sub(r"\S+", lambda m: self.word(m[0]), self.joined(text))
+        return re.sub(r"\S+", lambda m: self.word(m[0])[0], _SPACED.sub(lambda m: self.decode(m[0]) if _LETTER.search(m[0]) else m[0], text))
 
     def joined(self, text: str) -> str:
-        """Letters set apart brought together; white space stays where the model finds it likelier."""
-        return _SPACED.sub(lambda m: self.decode(m[0]), text)
+        """Letters, and signs among them, set apart brought together, in all readings; white space stays where the model finds it likelier."""
+        return _SPACED.sub(lambda m: " ".join(self.readings(m[0])) if _LETTER.search(m[0]) else m[0], text)
 
     def words(self, text: str) -> set[str]:
         """The different words of the restored text, in lower case."""
@@ -151,7 +168,7 @@ class Decoder:
             cache.clear()
         for t in set(self.joined(text).split()):
             if (found := cache.get(t)) is None:
-                found = cache[t] = tuple(_WORD.findall(self.word(t).lower()))
+                found = cache[t] = tuple({w for x in self.word(t) for w in _WORD.findall(x.lower())})
             out.update(found)
         return out
 

@@ -414,6 +414,19 @@ def test_toxicity_decodes_spans_of_any_length():
     assert "idiot" in d.words("old " + " ".join("house" * 200) + " " + " ".join("idiot")) and len(d.decode("a1" * 20_000)) > 0
 
 
+def test_toxicity_decodes_disguises_together_and_at_a_words_end():
+    d = decoder()
+    for x in (
+        "i d 1 o t", "1 d 1 0 t", "i.d.1.o.t", "idi07", "idi0+", "1d107", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i   d   i   o   t", "i   d   1   o   7",
+        "idiot!", "(idiot)", "idiot2024", "1d10t2024", "i d i o t 5", "idiot$$$", "IDI0T!!", "1diiiot",
+    ):
+        assert "idiot" in d.words(f"the {x} and"), (x, d.words(f"the {x} and"))
+    for x, plain in (("house!", "house"), ("(lake)", "lake"), ("old", "old"), ("1 2 3 4 5", None), ("2024", None)):
+        assert d.words(x) >= ({plain} if plain else set()), x
+    assert not d.words("1 2 3 4 5 2024 $$$")
+    assert "worthless" in d.words("w0r7h|3$$") and "stupid" in d.words("5 7 u p 1 d") | d.words("57up1d")
+
+
 # --- licences
 
 
