@@ -175,7 +175,7 @@ def simplified_rings(spark, sf):
 @query()
 def plane_segments(spark, sf):
     """Connected planar voxels, refitted: held against analytic scenes in the tests."""
-    p = segmentation.planes(v.points(spark, sf).where("x < 10 AND y < 10"), 1.5, angle=45.0, distance=1.0, least_points=3, least_voxels=1, flat=0.0)
+    p = segmentation.planes(v.points(spark, sf), 1.5, angle=45.0, distance=1.0, least_points=3, least_voxels=1, flat=0.0)
     return p.select("plane", "voxels", "n", R("rms", 5).alias("rms"))
 
 

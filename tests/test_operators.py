@@ -44,6 +44,16 @@ def test_two_walls_are_two_planes(spark):
     assert p.rms.max() < 0.05
 
 
+def test_plane_segments_hold_all_voxels(spark, sf_dir):
+    from terraloom.plans import views
+    from terraloom.plans.queries import QUERIES
+
+    p = views.points(spark, sf_dir).select("x", "y", "z").toPandas()
+    n = np.floor(p / 1.5).astype(int).value_counts()
+    got = QUERIES["plane_segments"](spark, sf_dir).toPandas()
+    assert got.voxels.sum() == (n >= 3).sum() and got.n.sum() == n[n >= 3].sum()
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (3, 3), (2, 5), (5, 3), (4, 4)):
