@@ -35,11 +35,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Each source is a queue of its documents in an order shuffled by the MD5 of seed and key, run
     through up to `most` times. A document's virtual finish time is the source's tokens up to its
     end, over the source's target. All queues' documents are sorted by finish time and taken until
-    the budget is spent.
+    the budget is spent, whatever their times.
 
     Nothing is sorted in one place: a source is cut into runs by the shuffle hash (their sums are
-    added up first, then each run is summed within itself), and finish times into equal bins; only
-    the bin in which the budget ends is sorted, to find the last document taken. All queues move
+    added up first, then each run is summed within itself), and finish times into bins (equal
+    ones up to time 2, then equal ones of its logarithm); only the bin in which the budget ends is sorted, to find the last document taken. All queues move
     at the same rate in virtual time, so the bins are even; a hot source has more runs.
 
     Null text has size 0, is in the mix, and takes nothing; a null source is a source of its own,
@@ -68,7 +68,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     passes = [((F.col("done") + F.col("source_size") * i) / F.col("target")) for i in range(most)]
     entry = F.explode(F.array(*[F.struct(p.alias("time"), F.lit(i).alias("pass")) for i, p in enumerate(passes)]))
     items = timed.where("size > 0 AND target > 0").select("_k", "_m", "size", "rank", entry.alias("e")).select("_k", "_m", "size", "rank", "e.time", "e.pass")
-    items = items.where("time <= 2").withColumn("bin", F.floor(F.col("time") * bins).cast("long"))
+    # equal bins up to time 2; later times, of sources whose target is less than their size, in as many bins for each doubling
+    late = F.floor((F.log2(F.col("time") / 2) + 2) * bins) + 1
+    items = items.withColumn("bin", F.when(F.col("time") <= 2, F.floor(F.col("time") * bins)).otherwise(late).cast("long"))
     by_bin = items.groupBy("bin").agg(F.sum("size").alias("s"))
     upto = by_bin.withColumn("upto", F.sum("s").over(Window.orderBy("bin")))
     last = upto.where(F.col("upto") >= budget).orderBy("bin").first() if budget else None
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         edge = items.where(F.col("bin") == last["bin"]).withColumn("upto", F.sum("size").over(order) + F.lit(last["upto"] - last["s"]))
         cut = edge.where(F.col("upto") <= budget).orderBy(F.desc("upto"), F.desc("time"), F.desc("rank"), F.desc("_m"), F.desc("_k"), F.desc("pass")).first()
         if cut is None:
-            cut = {"time": last["bin"] / bins, "rank": -1, "_m": "", "_k": None, "pass": -1}
+            cut = {"time": edge.agg(F.min("time")).first()[0], "rank": -1, "_m": "", "_k": None, "pass": -1}
     taken = F.lit(0).cast("long")
     if budget:
         for i, p in enumerate(passes):

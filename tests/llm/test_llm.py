@@ -119,6 +119,26 @@ def test_mix(docs):
     assert count(got) == count(mixing.mix(docs).collect())
 
 
+@pytest.mark.parametrize("long", [[1000], [100, 900], [10, 20, 970]])
+def test_mix_takes_late_finish_times_into_account(spark, long):
+    sizes = {"s00": [1] * 800, "s01": [1] * 400, "s02": long, "s03": [1] * 800, "s04": [1] * 200}
+    docs = [(i, s, n) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, s, n in docs], "doc_id long, text string, source string")
+    target, items, done = brute_targets({s: sum(x) for s, x in sizes.items()}), [], collections.Counter()
+    digest = lambda i: hashlib.md5(f"mix{i}".encode()).hexdigest()
+    for i, s, n in sorted(docs, key=lambda d: (digest(d[0]), d[0])):
+        done[s] += n
+        items += [((done[s] + sum(sizes[s]) * p) / target[s], s, digest(i), i, p, n) for p in (0, 1)]
+    want, spent = collections.Counter(), 0
+    for _, _, _, i, _, n in sorted(items):
+        spent += n
+        if spent > 4800:
+            break
+        want[i] += n
+    got = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    assert sum(got.values()) <= 4800 and got == {i: want[i] for i, _, _ in docs}
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     assert mixing.mix(empty(spark)).count() == 0
     df = spark.createDataFrame([(1, None, "s"), (2, "", None)], "doc_id long, text string, source string")
