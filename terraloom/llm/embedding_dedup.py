@@ -5,8 +5,10 @@ label's vectors: a vector's own cell is its nearest pivot's. By the triangle ine
 within r of a vector x of cell p is at most 2r farther from p than from its own pivot, so a vector
 is replicated to cell p only if d(v, p) <= d(v, nearest) + 2r. In Euclidean space the boundary can
 be drawn closer: only vectors within r of the hyperplane between the two pivots can have a partner
-beyond it. Both bounds are applied. Then each cell is joined apart, own vectors against all. In many
-dimensions most vectors are near most boundaries, so cells are large, and joined in pairs of blocks.
+beyond it. Both bounds are applied, and a vector goes only to cells before its own, so that two
+vectors of different cells meet once. Then each cell is joined apart, its own vectors against all,
+in pairs of blocks; within a block, vectors are sorted by their distance to the pivot, and only
+those whose distances differ by at most r are compared, by the triangle inequality again.
 """
 
 from __future__ import annotations
@@ -16,36 +18,66 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import share, written
+from .common import written
 from .components import components, union
 
-#: Vectors that a cell has of its own, about; pivots of a label at most; rows of one block of a cell.
-CELL, MOST_PIVOTS, BLOCK = 8192, 1024, 1024
-#: Pivots in all at most, which bounds what is broadcast.
-ALL_PIVOTS = 16384
-
-
-def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that count, their vectors in double precision)."""
-    rows, out = [], []
-    for i, v in enumerate(vectors):
-        if v.is_valid and len(v.values) and not v.values.null_count:
-            x = v.values.to_numpy().astype(float)
-            if np.isfinite(x).all() and (x != 0).any():
-                rows.append(i), out.append(x)
-    return np.array(rows, np.int64), out
+#: A label of n different vectors has the cube root of n, times this, pivots.
+PIVOT_RATE = 0.5
+#: Labels with pivots, pivots and numbers in their vectors at most, which bounds what is broadcast; other labels are one cell each, in blocks.
+ALL_PIVOTS, ALL_NUMBERS = 16384, 1 << 22
+#: Numbers in the vectors of a block, about; vectors of a block at most.
+BLOCK_NUMBERS, BLOCK = 1 << 21, 8192
+#: How far rounding may move a distance.
+SLACK = 1e-6
+
+
+def choose_pivots(groups: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """(label, vector's length) -> unit vectors of its pivots, drawn by hash from groups (l, g, v)."""
+    counts = groups.groupBy("l", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.ceil(F.cbrt(F.col("n").cast("double")) * PIVOT_RATE).cast("int"))
+    most = counts.where("p > 1").orderBy(F.desc("n"), "l", "d").limit(ALL_PIVOTS).collect()
+    plan, pivots, numbers = [], 0, 0
+    for r in most:
+        pivots, numbers = pivots + r["p"], numbers + r["p"] * r["d"]
+        if pivots <= ALL_PIVOTS and numbers <= ALL_NUMBERS:
+            plan.append((r["l"], r["d"], r["p"], min(1.0, 8 * r["p"] / r["n"])))
+    if not plan:
+        return {}
+    spark = groups.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(plan, "l string, d int, p int, rate double"))  # at most ALL_PIVOTS rows
+    scale = 1 << 30
+    spot = F.pmod(F.xxhash64("g", F.lit(20011)), F.lit(scale))
+    some = groups.select("l", "g", "v", F.size("v").alias("d")).join(wanted, ["l", "d"]).where(spot < F.col("rate") * scale)
+    first = some.withColumn("at", F.row_number().over(Window.partitionBy("l", "d").orderBy(spot, "g"))).where(F.col("at") <= F.col("p"))
+    out: dict[tuple[str, int], list[np.ndarray]] = {}
+    for r in first.select("l", "d", "v").orderBy("l", "d", "at").toLocalIterator():
+        out.setdefault((r["l"], r["d"]), []).append(np.array(r["v"]) / np.linalg.norm(r["v"]))
+    return {k: np.stack(v) for k, v in out.items()}
+
+
+def cells(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own, distance): the cells of pivots p that unit vectors x go to, and how far they are from them."""
+    d2 = np.maximum(0, 2 - 2 * x @ p.T)
+    mine = d2.argmin(axis=1)
+    near2 = d2[np.arange(len(x)), mine]
+    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-18))
+    by_triangle = np.sqrt(d2) <= np.sqrt(near2)[:, None] + 2 * radius + SLACK
+    by_plane = (d2 - near2[:, None]) / (2 * apart[mine]) <= radius + SLACK
+    go = by_triangle & by_plane & (np.arange(len(p)) < mine[:, None])
+    go[np.arange(len(x)), mine] = True
+    row, cell = np.nonzero(go)
+    return row, cell, mine[row] == cell, np.sqrt(d2[row, cell])
 
 
 def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) for each row of vectors.
 
     Equal vectors of a label are one group for the join, and count as each other's partners. A
-    label is cut into cells by pivots from a sample of bounded size; a cell of many vectors is
-    joined in pairs of blocks, so no task holds a cell whole. Each cell returns one count for each
-    of its own vectors, and a tree of links for each set, never all pairs.
+    label is cut into cells by pivots drawn by hash, at every size; a cell of many vectors is
+    joined in pairs of blocks, so no task holds a cell whole. Each block returns counts of partners
+    and a tree of links for each set, never all pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those whose
     label is null, link with nothing; vectors of different length don't link. Repeated rows are
@@ -62,30 +94,8 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", emb
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0))))
     rows = written(rows.withColumn("g", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws("|", F.col("l").cast("string"), F.col("v").cast("string")), 256))), "vectors")
     groups = rows.where("g IS NOT NULL").groupBy("g").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("l").cast("string").alias("l"), F.first("v").alias("v"))
-    # a group all of whose keys are null has no number of its own: it takes one below all others
-    groups = written(groups.withColumn("node", F.coalesce("rep", -F.abs(F.xxhash64("g")) - 1)), "vector-groups")
-    counts = groups.groupBy("l", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    total = groups.count()
-    rate = min(1.0, ALL_PIVOTS / max(1.0, total / CELL)) / CELL
-    pivots: dict[tuple[str, int], np.ndarray] = {}
-    for r in groups.where(share(F.col("g"), rate)).select("l", "v").orderBy(F.xxhash64("g")).limit(2 * ALL_PIVOTS).toLocalIterator():
-        pivots.setdefault((r["l"], len(r["v"])), []).append(np.array(r["v"]) / np.linalg.norm(r["v"]))  # type: ignore[union-attr]
-    pivots = {k: np.stack(v[:MOST_PIVOTS]) for k, v in pivots.items()}
-    shared = spark.sparkContext.broadcast(pivots)
-    del counts
-
-    def cells(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, own)"""
-        d2 = np.maximum(0, 2 - 2 * x @ p.T)
-        own = d2.argmin(axis=1)
-        near2 = d2[np.arange(len(x)), own]
-        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-18))
-        by_triangle = np.sqrt(d2) <= np.sqrt(near2)[:, None] + 2 * radius + 1e-9
-        by_plane = (d2 - near2[:, None]) / (2 * apart[own]) <= radius + 1e-9
-        go = by_triangle & by_plane
-        go[np.arange(len(x)), own] = True
-        row, cell = np.nonzero(go)
-        return row, cell, own[row] == cell
+    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "vector-groups")
+    shared = spark.sparkContext.broadcast(choose_pivots(groups))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,43 +107,50 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", emb
                 x = np.stack([vecs[i].values.to_numpy() for i in at])
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 p = shared.value.get((name, size))
-                row, cell, own = cells(unit, p) if p is not None else (np.arange(len(at)), np.zeros(len(at), int), np.ones(len(at), bool))
+                zero = np.zeros(len(at))
+                row, cell, own, far = cells(unit, p, radius) if p is not None else (np.arange(len(at)), zero.astype(int), np.ones(len(at), bool), zero)
                 take = pa.array(np.array(at)[row])
-                yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{size}"] * len(row)), pa.array(cell, pa.int32()), pa.array(own), node.take(take), vecs.take(take).cast(pa.list_(pa.float32() if item == "float" else pa.float64())), n.take(take)], names=["l", "cell", "own", "node", "v", "n"])
+                sent = vecs.take(take).cast(pa.list_(pa.float32() if item == "float" else pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{size}"] * len(row)), pa.array(cell, pa.int32()), pa.array(own), pa.array(far), node.take(take), sent, n.take(take)], names=["l", "cell", "own", "far", "node", "v", "n"])
 
-    sent = written(groups.select("node", "l", "v", "n").mapInArrow(send, f"l string, cell int, own boolean, node long, v array<{item}>, n long"), "cells")
-    blocks = sent.groupBy("l", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("b"))
+    sent = written(groups.select("node", "l", "v", "n").mapInArrow(send, f"l string, cell int, own boolean, far double, node long, v array<{item}>, n long"), "cells")
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.max(F.size("v")))))
+    blocks = sent.groupBy("l", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("b"))
     dealt = sent.join(blocks, ["l", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
+    # own vectors ask in row i of the cell's blocks, all are asked in column j; where that is one block, an own vector comes once
     span = F.sequence(F.lit(0), F.col("b") - 1)
-    as_own = dealt.where("own").withColumn("i", F.col("mine")).withColumn("j", F.explode(span)).withColumn("asks", F.lit(True))
-    as_any = dealt.withColumn("j", F.col("mine")).withColumn("i", F.explode(span)).withColumn("asks", F.lit(False))
-    pairs = as_own.unionByName(as_any).select("l", "cell", "i", "j", "asks", "node", "v", "n")
+    as_own = dealt.where("own").withColumn("i", F.col("mine")).withColumn("j", F.explode(span)).withColumn("asks", F.lit(True)).withColumn("asked", F.col("i") == F.col("j"))
+    as_any = dealt.withColumn("j", F.col("mine")).withColumn("i", F.explode(span)).where("NOT own OR i <> j").withColumn("asks", F.lit(False)).withColumn("asked", F.lit(True))
+    pairs = as_own.unionByName(as_any).select("l", "cell", "i", "j", "own", "asks", "asked", "far", "node", "v", "n")
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", kind="stable", ignore_index=True)
-        asks, node, n = rows["asks"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy()
+        rows = rows.sort_values(["far", "node"], kind="stable", ignore_index=True)
+        own, node, n, far = rows["own"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy(), rows["far"].to_numpy()
         x = np.stack(rows["v"].to_numpy()).astype(float)
         length = np.linalg.norm(x, axis=1)
-        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        unit = x / length[:, None]
+        mine, theirs = np.flatnonzero(rows["asks"].to_numpy()), np.flatnonzero(rows["asked"].to_numpy())
         labels, count = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        reach = far[theirs]
         for at in range(0, len(mine), 256):
             a = mine[at : at + 256]
-            cosine = (x[a] @ x[theirs].T) / (length[a][:, None] * length[theirs][None, :])
-            linked = (cosine >= least) & (node[a][:, None] != node[theirs][None, :])
-            count[a] = linked @ n[theirs]
+            b = theirs[np.searchsorted(reach, far[a[0]] - radius - SLACK) : np.searchsorted(reach, far[a[-1]] + radius + SLACK, "right")]
+            cosine = unit[a] @ unit[b].T
+            linked = (cosine >= least) & (node[a][:, None] != node[b][None, :])
+            u, w = np.nonzero(np.abs(cosine - least) < 1e-9)  # so close that rounding counts
+            linked[u, w] = (np.einsum("ij,ij->i", x[a[u]], x[b[w]]) / (length[a[u]] * length[b[w]]) >= least) & (node[a[u]] != node[b[w]])
+            count[a] += linked @ n[b]
+            count[b] += np.where(own[b], 0, n[a] @ linked)  # vectors of other cells meet here only
             u, w = np.nonzero(linked)
-            union(labels, a[u], theirs[w])
-        # a vector that asks and is asked for is two rows here: they are one node
-        union(labels, np.arange(len(rows) - 1)[same := node[1:] == node[:-1]], np.arange(1, len(rows))[same])
+            union(labels, a[u], b[w])
         first = node[labels]
-        keep = asks & ((count > 0) | (first != node)) | (first != node)
-        return pd.DataFrame({"a": node[keep], "b": first[keep], "n": np.where(asks, count, 0)[keep]})
+        keep = (count > 0) | (first != node)
+        return pd.DataFrame({"a": node[keep], "b": first[keep], "n": count[keep]})
 
     found = written(pairs.groupBy("l", "cell", "i", "j").applyInPandas(join, "a long, b long, n long"), "links")
     linked = components(found.where("a <> b").distinct(), "a", "b")
     sums = found.groupBy("a").agg(F.sum("n").alias("others"))
     named = groups.select("g", "node", "n", "rep").join(linked, "node", "left").join(sums, groups["node"] == sums["a"], "left")
-    # negative stand-ins are no keys: the component's smallest key is that of its groups that have one
     lowest = named.where("rep IS NOT NULL").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("rep").alias("component_id"))
     named = named.withColumn("c", F.coalesce("component", "node")).join(lowest, "c", "left").select("g", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("k", "g").join(named, "g", "left")

@@ -5,12 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, written
+
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+#: A group with over one in so many of all rows is hot. There are fewer such groups than this.
+HOT = 1024
 
 
 def normalised(text: Column) -> Column:
-    """Each run of ASCII white space as one space. The pattern matches only runs that differ from that."""
-    return F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
+    """Each run of ASCII white space as one space: bytes are replaced one by one, and the pattern sees only texts that have two spaces in a row."""
+    one = text
+    for c in "\t\n\x0b\x0c\r":
+        one = F.replace(one, F.lit(c), F.lit(" "))
+    return F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one)
+
+
+def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1, ..., so that none clashes, with key k and digests h (MD5) and s (SHA-256) of the normalised text n."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("k", F.col(names[docs.columns.index(key)])).withColumn("n", normalised(text_or_empty(names[docs.columns.index(text)])))
+    return rows.withColumn("h", F.unhex(F.md5("n"))).withColumn("s", F.unhex(F.sha2("n", 256))), names
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(h, s, keep_id, group_size) of rows (k, h, s, n). The text is a key of the first aggregate, so bytes are compared."""
+    texts = rows.groupBy("h", "s", "n").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("c"))
+    groups = texts.groupBy("h", "s").agg(F.min("k").alias("keep_id"), F.sum("c").alias("group_size"), F.count(F.lit(1)).alias("v"))
+    one = F.when(F.col("v") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long"))
+    return groups.select("h", "s", "keep_id", one.alias("group_size"))
+
+
+def _hot_and_cold(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups of rows, written: fewer than HOT of over one in HOT of all rows, and the others."""
+    groups = written(_groups(rows), "text-groups")
+    most = max(1, (groups.agg(F.sum("group_size")).first()[0] or 0) // HOT)
+    return groups.where(F.col("group_size") > most), groups.where(F.col("group_size") <= most)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -19,25 +48,32 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     Built-in functions only. Texts are grouped by the MD5 of the normalised text together with the
     text itself, so the aggregate compares bytes; copies collapse before the shuffle, however many
     there are. The groups are then addressed by MD5 and SHA-256: two different texts with the same
-    MD5 stay two groups, and if both digests were equal the query would stop with an error.
+    MD5 stay two groups, and if both digests were equal the query would stop with an error. Groups
+    of over a 1024th of all rows, fewer than 1024 whatever the input, are broadcast to their rows;
+    only the rest are joined by a shuffle, so no task gets a hot group's rows.
 
     Null text counts as empty; the empty text is a text like any other. Rows that repeat a key are
     rows of their own: each counts in group_size, and those with the smallest key are all kept. A
-    null key is kept only where its group has no other. Other columns pass through, except that
-    columns named as the four results are replaced. An empty table gives an empty table.
+    null key is kept only where its group has no other. Other columns pass through whatever their
+    names, except that columns named as the four results are replaced. An empty table gives an
+    empty table.
     """
-    work = docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("_n", normalised(text_or_empty(text)))
-    work = work.withColumn("_h", F.unhex(F.md5("_n"))).withColumn("_s", F.unhex(F.sha2("_n", 256)))
-    texts = work.groupBy("_h", "_s", "_n").agg(F.min(key).alias("_k"), F.count(F.lit(1)).alias("_c"))
-    groups = (
-        texts.groupBy("_h", "_s")
-        .agg(F.min("_k").alias("keep_id"), F.sum("_c").alias("group_size"), F.count(F.lit(1)).alias("_v"))
-        .withColumn("_v", F.when(F.col("_v") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256"))).otherwise(F.col("_v")))
-    )
-    out = work.drop("_n").join(groups, ["_h", "_s"]).where(F.coalesce(F.col("_v"), F.lit(1)) == 1)
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", F.lower(F.hex("_s"))).drop("_h", "_s", "_v")
+    rows, names = _numbered(docs, text, key)
+    hot, cold = _hot_and_cold(rows)
+    work = rows.drop("n")
+    met = work.join(F.broadcast(hot), ["h", "s"]).unionByName(work.join(F.broadcast(hot.select("h", "s")), ["h", "s"], "left_anti").join(cold, ["h", "s"]))
+    given = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in RESULTS]
+    return met.select(*given, "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("s")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows that are not kept, in docs' columns."""
-    return exact_groups(docs, text, key).where("kept").select(*docs.columns)
+    """docs without the rows that are not kept: docs' columns with docs' values, whatever their names.
+
+    Copies of hot groups go where they are read; the other rows meet the groups of more than one.
+    """
+    rows, names = _numbered(docs, text, key)
+    hot, cold = _hot_and_cold(rows)
+    stays = F.col("group_size").isNull() | F.col("k").eqNullSafe(F.col("keep_id"))
+    left = rows.drop("n").join(F.broadcast(hot), ["h", "s"], "left").where(stays).drop("keep_id", "group_size")
+    left = left.join(cold.where("group_size > 1"), ["h", "s"], "left").where(stays)
+    return left.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

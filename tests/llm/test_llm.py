@@ -77,6 +77,25 @@ def test_exact_groups(docs):
     assert left.columns == docs.columns and left.count() == sum(e[3] for e in expected)
 
 
+def test_exact_groups_with_clashing_columns(spark):
+    names = ["h", "doc_id", "s", "n", "k", "keep_id", "text", "group_size", "kept", "text_sha256", "c0", "v", "least", "c"]
+    data = [tuple({"doc_id": i, "text": t, "kept": False}.get(n, f"{n}{i}") for n in names) for i, t in enumerate(["a  b", "a b", None, "", "c", "a\tb", "c" * 50_000])]
+    df = spark.createDataFrame(data, ", ".join(f"{n} {'long' if n == 'doc_id' else 'boolean' if n == 'kept' else 'string'}" for n in names))
+    found = exact_dedup.exact_groups(df)
+    assert sorted(found.columns) == sorted(names) and [(r.doc_id, r.keep_id, r.group_size, r.kept, r.h, r.c0) for r in found.orderBy("doc_id").collect()] == [
+        (i, k, n, i == k, f"h{i}", f"c0{i}") for i, (k, n) in enumerate([(0, 3), (0, 3), (2, 2), (2, 2), (4, 1), (0, 3), (6, 1)])
+    ]
+    left = exact_dedup.exact_dedup(df)
+    assert left.columns == names and sorted(map(tuple, left.collect()), key=str) == sorted((data[i] for i in (0, 2, 4, 6)), key=str)
+
+
+def test_exact_groups_hot_and_cold(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i // 6}") for i in range(400)], "doc_id long, text string")
+    for parts in (1, 7, 1024):
+        monkeypatch.setattr(exact_dedup, "HOT", parts)
+        test_exact_groups(df)
+
+
 def test_exact_groups_of_nothing(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
@@ -287,7 +306,7 @@ def vectors(spark, seed=1):
     out += [(9000 + i, out[0][1], out[0][2]) for i in range(30)]
     hot = rng.normal(size=8)
     out += [(9500 + i, (hot + rng.normal(size=8) * 0.01).tolist(), 1) for i in range(60)]
-    out += [(9900, None, 1), (9901, [0.0] * 8, 1), (9902, [float("nan")] * 8, 1), (9903, out[0][1], None), (9904, [None] * 8, 1), (9905, [1.0, 2.0], 1), (9906, [2.0, 4.0], 1), (9907, [], 1), (9907, [], 1), (9908, [-0.0] + [1.0] * 7, 0), (9909, [0.0] + [1.0] * 7, 0), (9910, out[1][1], out[1][2]), (9910, out[1][1], out[1][2])]
+    out += [(9900, None, 1), (9901, [0.0] * 8, 1), (9902, [float("nan")] * 8, 1), (9903, out[0][1], None), (9904, [None] * 8, 1), (9905, [1.0, 2.0], 1), (9906, [2.0, 4.0], 1), (9907, [], 1), (9907, [], 1), (9908, [-0.0] + [1.0] * 7, 0), (9909, [0.0] + [1.0] * 7, 0), (9910, out[1][1], out[1][2]), (9910, out[1][1], out[1][2]), (9911, out[3][1], out[3][2]), (9911, out[40][1], out[40][2])]
     return out, spark.createDataFrame(out, "vec_id long, embedding array<double>, label int")
 
 
@@ -310,9 +329,28 @@ def test_embedding_links(spark, monkeypatch):
     data, df = vectors(spark)
     want = brute_links(data)
     assert count(embedding_dedup.near_links(df).collect()) == want
-    monkeypatch.setattr(embedding_dedup, "CELL", 12)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
-    assert count(embedding_dedup.near_links(df.withColumn("n_links", F.lit("clash"))).collect()) == want
+    clash = df.withColumn("n_links", F.lit("clash")).withColumn("own", F.lit(1))
+    for rate, block, most in ((3.0, 10, 16384), (0.5, 7, 16384), (3.0, 50, 1)):  # many cells and blocks; few cells; no pivots
+        monkeypatch.setattr(embedding_dedup, "PIVOT_RATE", rate)
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "ALL_PIVOTS", most)
+        assert count(embedding_dedup.near_links(clash).collect()) == want
+
+
+def test_pivots_at_every_size():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.03])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (2, 5, 20):
+        row, cell, own, far = embedding_dedup.cells(x, x[:n], 0.2)
+        assert own.sum() == len(x) and len(set(cell[own].tolist())) == n
+        assert np.allclose(far, np.linalg.norm(x[row] - x[cell], axis=1), atol=1e-6)
+        home = dict(zip(row[own].tolist(), cell[own].tolist(), strict=True))
+        there = set(zip(row.tolist(), cell.tolist(), strict=True))
+        for i, j in zip(*np.nonzero(np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.2), strict=True):
+            low = min(home[i], home[j])
+            assert (i, low) in there and (j, low) in there
 
 
 def test_embedding_links_of_nothing(spark):
