@@ -75,31 +75,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _licence_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     templates = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(license_scan.TEMPLATES))
-    n, term = len(license_scan.TEMPLATES), quoted(license_scan.TERM)
-    hint, name = quoted(license_scan.HINT), quoted(license_scan.FILE_NAME)
+    n, term, name = len(license_scan.TEMPLATES), quoted(license_scan.TERM), quoted(license_scan.FILE_NAME)
+    comment, end, line_end = quoted(license_scan.COMMENT), quoted(license_scan.COMMENT_END), quoted(license_scan.LINE_END)
     return f"""
 WITH templates(t, licence, body) AS (VALUES {templates}),
 ttf AS (SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest(regexp_extract_all(lower(body), {term})) AS term FROM templates) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0 + {n}) / (1.0 + count(*))) + 1.0 AS idf FROM ttf GROUP BY term),
-tw AS (SELECT t, licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS norm FROM ttf JOIN idf USING (term)),
+tw AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY t)) AS norm FROM (SELECT t, licence, term, (ln(tf) + 1.0) * idf AS w FROM ttf JOIN idf USING (term))),
 files AS (SELECT doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
-lines AS (
-  SELECT DISTINCT path, len(regexp_extract_all(lower(text), {term})) AS all_words, line FROM (
-    SELECT path, text, unnest(string_split_regex(text, '\\r\\n|[\\r\\n\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM files WHERE regexp_matches(text, {hint}))
-  WHERE regexp_matches(line, {hint})),
-lterm AS (SELECT path, line, all_words, len(regexp_extract_all(lower(line), {term})) AS words, unnest(regexp_extract_all(lower(line), {term})) AS term FROM lines),
-ltf AS (SELECT path, line, all_words, words, term, count(*) AS n FROM lterm GROUP BY ALL),
-lw AS (SELECT l.*, l.n * coalesce(i.idf, ln(1.0 + {n}) + 1.0) AS x FROM ltf l LEFT JOIN idf i USING (term)),
-lnorm AS (SELECT path, line, sqrt(sum(x * x)) AS length FROM lw GROUP BY ALL),
-dots AS (SELECT path, line, all_words, words, t, licence, norm, sum(x * w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
+lines AS (SELECT path, string_split_regex(text, {line_end}) AS raw FROM files WHERE path IS NOT NULL),
+bare AS (
+  SELECT path, raw, list_transform(raw, lambda x: regexp_replace(regexp_replace(x, {comment}, ''), {end}, '')) AS line,
+    list_position(list_transform(raw, lambda x: regexp_matches(x, {comment}) OR regexp_matches(x, '^[\\x20\\t]*$')), false) AS code FROM lines),
+texts AS (
+  SELECT path, array_to_string(line, chr(10)) AS text, array_to_string(line, ' ') AS joined,
+    CASE WHEN code = 1 THEN '' WHEN code > 1 THEN array_to_string(line[1:code - 1], ' ') ELSE array_to_string(line, ' ') END AS head FROM bare),
+units AS (
+  SELECT DISTINCT path, unnest(list_concat(string_split_regex(text, '\\n+'), string_split_regex(text, '\\n\\n+'),
+    string_split(regexp_replace(replace(regexp_replace(text, '\\n\\n+', chr(1), 'g'), chr(10), ' '), '([.!?;:]) +', '\\1' || chr(1), 'g'), chr(1)), [head], CASE WHEN regexp_matches(path, {name}) THEN [joined] ELSE []::VARCHAR[] END)) AS unit FROM texts),
+utf AS (SELECT path, unit, term, count(*) AS n FROM (SELECT path, unit, unnest(regexp_extract_all(lower(unit), {term})) AS term FROM units) GROUP BY ALL),
+uw AS (SELECT u.*, (ln(u.n) + 1.0) * coalesce(i.idf, ln(1.0 + {n}) + 1.0) AS x FROM utf u LEFT JOIN idf i USING (term)),
+unorm AS (SELECT path, unit, sqrt(sum(x * x)) AS length FROM uw GROUP BY ALL),
+dots AS (SELECT path, unit, t, licence, sum(x * w / norm) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL),
 best AS (
-  SELECT path, licence, cosine, words, all_words FROM (
-    SELECT path, licence, words, all_words, round(dot / (norm * length), 6) AS cosine FROM dots JOIN lnorm USING (path, line))
-  WHERE cosine >= {license_scan.LEAST}
-  QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence, words DESC, all_words) = 1),
+  SELECT path, licence, cosine FROM (SELECT path, licence, round(dot / length, 6) AS cosine FROM dots JOIN unorm USING (path, unit)) WHERE cosine >= {license_scan.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) = 1),
 dirs AS (
-  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, licence, cosine, path FROM best
-  WHERE regexp_matches(path, {name}) OR words >= {license_scan.FILE_SHARE} * all_words
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, licence, cosine, path FROM best WHERE regexp_matches(path, {name})
   QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY cosine DESC, path) = 1),
 inherited AS (
   SELECT f.path, d.licence, d.cosine, d.path AS from_path FROM files f JOIN dirs d ON d.dir = '' OR starts_with(f.path, d.dir || '/')

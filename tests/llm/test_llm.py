@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -488,18 +491,71 @@ def test_toxicity_decodes_disguises_together_and_at_a_words_end():
 # --- licences
 
 
+def brute_licence(path, text, least=license_scan.LEAST):
+    """The best (licence, cosine) of a file, every unit against every template, without the filter by terms."""
+    import re
+
+    lines = re.split("\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]", text)
+    bare = [re.sub(license_scan.COMMENT_END, "", re.sub(license_scan.COMMENT, "", x), count=1) for x in lines]
+    blocks = [list(g) for full, g in itertools.groupby(bare, key=bool) if full]
+    units = {"\n".join(b) for b in blocks} | {x for b in blocks for x in b} | {x for b in blocks for x in re.sub("([.!?;:]) +", "\\1\x01", " ".join(b)).split("\x01")}
+    units.add(" ".join(itertools.takewhile(lambda x: x is not None, [b if re.match(license_scan.COMMENT, x) or not x.strip(" \t") else None for x, b in zip(lines, bare, strict=True)])))
+    if re.search(license_scan.FILE_NAME, path):
+        units.add(" ".join(bare))
+    rows, idf, other = license_scan.vectors()
+    found = []
+    for u in units:
+        c = {t: (1 + math.log(n)) * idf.get(t, other) for t, n in collections.Counter(re.findall(license_scan.TERM, u.lower())).items()}
+        length = math.sqrt(sum(x * x for x in c.values()))
+        dots = collections.Counter()
+        for i, licence, t, w, norm in rows:
+            if t in c:
+                dots[i, licence] += c[t] * w / norm
+        found += [(-round(d / length, 6), licence) for (_, licence), d in dots.items() if d / length >= least - 1e-6]
+    found = [x for x in found if -x[0] >= least]
+    return (min(found)[1], -min(found)[0]) if found else (None, None)
+
+
+def test_license_statements(spark):
+    t = dict(reversed(license_scan.TEMPLATES))
+    wrap = lambda x, mark: "\n".join(mark + y for y in textwrap.wrap(x, 60))
+    mit, gpl, apache = license_scan.TEMPLATES[4][1], license_scan.TEMPLATES[13][1], license_scan.TEMPLATES[10][1]
+    cases = {
+        "spdx.c": ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), "gpl.py": ("#!/usr/bin/python\n# SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0"),
+        "wrapped.py": (wrap(gpl, "# ") + "\n\nimport os\n", "GPL-3.0"), "wrapped.c": ("/*\n" + wrap(apache, " * ") + "\n */\nint x;", "Apache-2.0"),
+        "title": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007", "GPL-3.0"), "mpl.txt": ("Mozilla Public License Version 2.0\n====", "MPL-2.0"),
+        "a/LICENSE": ("MIT License\n\nCopyright (c) 2020 A. N. Other\n\n" + wrap(mit, ""), "MIT"), "bsd.md": ("## BSD 3-Clause License\n", "BSD-3-Clause"),
+        "prose.txt": ("It was late. The code is here. Licensed under the Apache License, Version 2.0. And so on for ever and ever, as we said before; the end.", "Apache-2.0"),
+        "cc.html": ("<!-- This work is licensed under the Creative Commons Attribution 4.0 International License. -->\n<p>x</p>", "CC-BY-4.0"),
+        "none.txt": ("The license of the software is not known; the public domain is wide and the version is 2.0.\nVersion 2.0\nUnder the lake.", None),
+        "empty": ("", None), "long.txt": ("word and the lake " * 40_000 + "\nReleased under the MIT License.\n" + "old house\n" * 20_000, "MIT"),
+        "b/COPYING": (wrap(t["Unlicense"] + " Anyone is free to copy.", ""), "Unlicense"), "tie.txt": ("Released under the MIT License.\nLicensed under CC BY 4.0.", "CC-BY-4.0"),
+    }
+    df = spark.createDataFrame([(p, x) for p, (x, _) in cases.items()] + [("null", None)], "path string, text string")
+    got = {r.path: (r.licence, r.cosine) for r in license_scan.statements(df).collect()}
+    for p, (x, licence) in cases.items():
+        want = brute_licence(p, x)
+        assert want[0] == licence, (p, want)
+        assert got.get(p, (None, None))[0] == licence and (licence is None or abs(got[p][1] - want[1]) < 2e-6), (p, got.get(p), want)
+
+
 def test_license_scan(spark):
+    mit = "Released under the MIT License."
     files = [
-        ("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("d/z.py", "nothing"),
-        ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (None, "Released under the MIT License."), ("e.txt", None), ("a/q", ""), ("a/q", ""), ("f/n.txt", "license " * 50),
+        ("a/LICENSE", mit), ("a/b/x.py", "code"), ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("d/z.py", "nothing"), ("d/w.py", mit),
+        ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), (None, mit), ("e.txt", None), ("a/q", ""), ("a/q", ""), ("f/n.txt", "license " * 50),
     ]
-    df = spark.createDataFrame(files, "path string, text string").withColumn("licence", F.lit("clash"))
-    got = collections.Counter((r.path, r.licence, r.origin, r.from_path) for r in license_scan.scan(df).collect())
+    df = spark.createDataFrame([(p, t, "clash", f"d{i}", "c") for i, (p, t) in enumerate(files)], "path string, text string, licence string, dir string, c0 string")
+    found = license_scan.scan(df)
+    assert sorted(found.columns) == sorted(["path", "text", "licence", "dir", "c0", "cosine", "origin", "from_path"])
+    rows = found.collect()
+    got = collections.Counter((r.path, r.licence, r.origin, r.from_path) for r in rows)
     assert got[("a/b/x.py", "GPL-3.0", "inherited", "a/b/COPYING")] == 1
     assert got[("a/b/c/y.py", "Apache-2.0", "own", "a/b/c/y.py")] == 1
     assert got[("a/q", "MIT", "inherited", "a/LICENSE")] == 2
+    assert got[("d/w.py", "MIT", "own", "d/w.py")] == 1
     assert got[("d/z.py", None, "none", None)] == got[("e.txt", None, "none", None)] == got[(None, None, "none", None)] == 1
-    assert sum(got.values()) == len(files)
+    assert sorted((r.path or "", r.text or "", r.dir) for r in rows) == sorted((p or "", t or "", f"d{i}") for i, (p, t) in enumerate(files))
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
