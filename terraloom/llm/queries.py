@@ -141,9 +141,22 @@ c AS (SELECT *, sum(size) OVER (ORDER BY time, rank, m, doc_id, pass, size ROWS
 t AS (SELECT doc_id, m, sum(size)::BIGINT AS taken FROM c WHERE upto <= floor(total) GROUP BY doc_id, m)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT AS taken FROM q LEFT JOIN t ON t.doc_id = q.doc_id"""
 
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, s, substring(x, 2 * s + 1, 400) AS piece FROM (SELECT r, x, unnest(range(0, greatest(len(x) // 2 - 199, 0))) AS s FROM d)),
+twice AS (SELECT p.r AS r, p.s AS s FROM (SELECT unnest(places) AS p FROM (SELECT list({'r': r, 's': s}) AS places FROM w GROUP BY piece HAVING count(*) > 1))),
+starts AS (SELECT r, s, sum(CASE WHEN s <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS run FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM twice)),
+runs AS (SELECT r, min(s) AS a, max(s) + 200 AS z FROM starts GROUP BY r, run),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM runs UNION ALL SELECT r, max(z), 1000000000 FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(substring(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS left_over FROM gaps JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)"""
+
 SQL: dict[str, str] = {
     "op2_license_scan": _licence_sql(),
     "op3_embedding_near_dedup": _EMBEDDING_SQL,
     "op7_source_mixing": _MIX_SQL,
     "op9_exact_dedup": _EXACT_SQL,
+    "op10_suffix_dedup": _REPEATS_SQL,
 }

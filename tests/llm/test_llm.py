@@ -400,9 +400,10 @@ def brute_removal(data, length=200):
     return count(out)
 
 
-@pytest.mark.parametrize("shard", [3, 512])
-def test_remove_repeats(docs, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "piece"), [(3, 1 << 20), (512, 1 << 20), (512, 37), (3, 250)])
+def test_remove_repeats(docs, monkeypatch, shard, piece):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     want = brute_removal([(r.doc_id, r.text) for r in docs.collect()])
     assert count(suffix_dedup.remove_repeats(docs).collect()) == want
 
@@ -412,6 +413,16 @@ def test_remove_repeats_gives_bytes(docs):
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_remove_repeats_of_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    long = rng.choice(list("abcdefgh "), 12_000_000)
+    long[9_000_000:9_000_400] = long[100:500]
+    whole = "".join(long)
+    df = spark.createDataFrame([(1, whole), (2, whole[5_000_000:5_000_300] + "."), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: (12_000_000, 1100, 3), 2: (301, 300, 1), 3: (5, 0, 0)}
+
+
 def test_remove_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
