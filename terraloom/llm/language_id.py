@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import share
 from .linear import Example, Ftrl, softmax, temperature
 
-#: Hashed n-grams, their lengths, the factor on tf * idf, and labelled texts used for each language at most, about.
-SIZE, LENGTHS, SCALE, PER_LANGUAGE = 1 << 15, (1, 2, 3), 30.0, 1200
+#: Hashed n-grams, their lengths, the factor on tf * idf, and labelled texts used for each language and in all at most, about.
+SIZE, LENGTHS, SCALE, PER_LANGUAGE, IN_ALL = 1 << 15, (1, 2, 3), 30.0, 1200, 60_000
 
 
 def held_out(key: Column) -> Column:
@@ -78,7 +78,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     """Learn from text and non-null lang of the rows that aren't held out.
 
     Document frequencies cover all those rows; the regression takes about per_language whole texts
-    of each language, by a repeatable hash, a fifth of which set the temperature.
+    of each language, fewer where they would be over IN_ALL, by a repeatable hash, a fifth of which
+    set the temperature.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -87,6 +88,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
         return LanguageModel([], np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     documents, df = document_frequencies(rows, "t")
     idf = np.log((1 + documents) / (1 + df)) + 1
+    per_language = min(per_language, max(1, IN_ALL // len(languages)))
     pick = F.lit(False)
     for name, n in counts.items():
         pick = pick | ((F.col("l") == name) & share(F.col("k"), per_language / n))

@@ -65,90 +65,90 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 12) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange documents between underfull bins while the sum of squared fill grows; bins that empty go.
 
-    From the fullest underfull bin on: move a document in from a less full bin, else exchange one
-    of its documents for a longer one, or two for one, that fits; each such step makes the fuller
-    bin fuller. A bin that nothing can better is set aside. rounds bounds the passes over the bins.
+    From the fullest underfull bin on: move a document in from a bin after it, or exchange one of
+    its documents, or two, for a longer one that fits; of all such steps the one that fills it most,
+    until it is full or none is left. Rounds over the bins go on until one changes nothing, or the
+    documents need all bins that are left. Every step makes the squared fill grow, so it ends.
     """
     size = lengths.tolist()
-    done = [b for b in bins if sum(size[i] for i in b) == capacity]
-    work = [list(b) for b in bins if sum(size[i] for i in b) < capacity]
-    for _ in range(rounds):
-        if sum(map(sum, ([size[i] for i in b] for b in work))) > (len(work) - 1) * capacity:
-            break  # no bin can be saved
+    done, work = [], []
+    for b in bins:
+        (done if sum(size[i] for i in b) == capacity else work).append(list(b))
+    changed = True
+    while changed and sum(size[i] for b in work for i in b) <= (len(work) - 1) * capacity:
+        changed = False
+        work.sort(key=lambda b: -sum(size[i] for i in b))
         fill = [sum(size[i] for i in b) for b in work]
-        order = sorted(range(len(work)), key=lambda b: -fill[b])
-        rank = {b: r for r, b in enumerate(order)}
-        where: dict[int, set[tuple[int, int]]] = {}  # length -> (bin, item)
-        mask = 0
-        for b, items in enumerate(work):
-            for i in items:
-                where.setdefault(size[i], set()).add((b, i))
-                mask |= 1 << size[i]
+        where: dict[int, dict[int, int]] = {}  # length -> item -> bin, of the bins to come
+        mask = 0  # bit n: where[n] has items
 
-        def put(b: int, i: int) -> None:
+        def put(b: int, i: int, where=where) -> None:
             nonlocal mask
-            work[b].append(i)
-            where.setdefault(size[i], set()).add((b, i))
+            where.setdefault(size[i], {})[i] = b
             mask |= 1 << size[i]
-            fill[b] += size[i]
 
-        def take(b: int, i: int) -> None:
+        def take(i: int, where=where) -> None:
             nonlocal mask
-            work[b].remove(i)
-            where[size[i]].discard((b, i))
+            del where[size[i]][i]
             if not where[size[i]]:
                 mask &= ~(1 << size[i])
-            fill[b] -= size[i]
-
-        def longest(low: int, high: int, b: int) -> tuple[int, int] | None:
-            """An item of over low and at most high tokens in a bin after b, the longest there is."""
-            some = mask & ((1 << (high + 1)) - 1)
-            while some:
-                length = some.bit_length() - 1
-                if length <= low:
-                    return None
-                if found := next((x for x in where[length] if x[0] != b and rank[x[0]] > rank[b]), None):
-                    return found
-                some &= ~(1 << length)
-            return None
 
-        changed = False
-        for b in order:
-            while work[b] and fill[b] < capacity:
+        for b, items in enumerate(work):
+            for i in items:
+                put(b, i)
+
+        for b, mine in enumerate(work):
+            for i in mine:
+                take(i)
+            while mine and fill[b] < capacity:
                 gap = capacity - fill[b]
-                options = [(found, ()) for found in [longest(0, gap, b)] if found]
-                own = sorted(set(work[b]), key=lambda i: size[i])[:12]
-                for i in own:
-                    if found := longest(size[i], size[i] + gap, b):
-                        options.append((found, (i,)))
-                for x, i in enumerate(own[:6]):
-                    for j in own[x + 1 : 6]:
-                        if found := longest(size[i] + size[j], size[i] + size[j] + gap, b):
-                            options.append((found, (i, j)))
-                best = None
-                for (other, item), out in options:
-                    gain = size[item] - sum(size[i] for i in out)
-                    growth = (fill[b] + gain) ** 2 + (fill[other] - gain) ** 2 - fill[b] ** 2 - fill[other] ** 2
-                    if growth > 0 and (best is None or (gain, -len(out)) > best[0]):
-                        best = ((gain, -len(out)), other, item, out)
+                best: tuple[int, int, int, tuple[int, ...]] | None = None  # gain, -documents out, document in, documents out
+                for out in exchanges(mine, size):
+                    low = sum(size[i] for i in out)
+                    some = mask & ((1 << (low + gap + 1)) - 1)
+                    while (length := some.bit_length() - 1) > low + (best[0] if best else 0):
+                        gain = length - low
+                        found = next((i for i, other in where[length].items() if fill[b] + gain > fill[other]), None)
+                        if found is not None:
+                            best = (gain, -len(out), found, out)
+                            break
+                        some &= ~(1 << length)
+                    if best and best[0] == gap:
+                        break
                 if best is None:
                     break
-                _, other, item, out = best
-                take(other, item)
+                gain, _, found, out = best
+                other = where[size[found]][found]
+                take(found), work[other].remove(found), mine.append(found)
                 for i in out:
-                    take(b, i), put(other, i)
-                put(b, item)
+                    mine.remove(i), work[other].append(i), put(other, i)
+                fill[b], fill[other] = fill[b] + gain, fill[other] - gain
                 changed = True
         done += [b for b, f in zip(work, fill, strict=True) if f == capacity]
         work = [b for b, f in zip(work, fill, strict=True) if 0 < f < capacity]
-        if not changed:
-            break
     return done + work
 
 
+def exchanges(items: list[int], size: list[int]) -> Iterator[tuple[int, ...]]:
+    """What a bin may give for one document: nothing, each one of its documents, each two; of equally long ones, one."""
+    yield ()
+    by: dict[int, list[int]] = {}
+    for i in items:
+        by.setdefault(size[i], []).append(i)
+    lengths = sorted(by)
+    for n in lengths:
+        yield (by[n][0],)
+    seen = set(lengths)
+    for at, n in enumerate(lengths):
+        for m in lengths[at:]:
+            if n + m not in seen and (n != m or len(by[n]) > 1):
+                seen.add(n + m)
+                yield (by[n][0], by[m][0 if n != m else 1])
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset): every piece's place.
 

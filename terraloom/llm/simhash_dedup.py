@@ -5,7 +5,7 @@ Two fingerprints within DISTANCE = 3 bits agree to within 1 bit on their upper o
 point and a threshold; what is nearer goes left, the rest right, and by the triangle inequality
 only fingerprints within the radius of the threshold go both ways. Leaves are shards; each holds
 its own fingerprints and those over its boundary, and is searched apart for exact pairs on all 64
-bits. (One tree over 64 bits at radius 3 is the same search, but more than half of all random
+bits, along a smaller tree of the same kind in memory. (One tree over 64 bits at radius 3 is the same search, but more than half of all random
 fingerprints lie within 3 of any threshold, against a quarter within 1 of 32 bits.)
 """
 
@@ -23,9 +23,11 @@ from .common import delete, share, text_or_empty, written
 from .components import components, union
 
 #: Fingerprints that a leaf has of its own, about, and at most leaves; rows of one block of a leaf.
-LEAF, MOST_LEAVES, BLOCK = 512, 1 << 15, 1 << 15
+LEAF, MOST_LEAVES, BLOCK = 1 << 14, 1 << 16, 1 << 16
 #: The trees are built from a sample of this many fingerprints for each leaf; all are routed.
-SAMPLE = 16
+SAMPLE = 32
+#: Fingerprints that a leaf of the tree within a shard has of its own, about.
+WITHIN = 256
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -154,6 +156,24 @@ def link(own: np.ndarray, all_: np.ndarray, distance: int) -> np.ndarray:
     return labels
 
 
+def search(half: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int, distance: int) -> np.ndarray:
+    """As link(), for a shard of any size: along a tree over the half that it is a shard of."""
+    rate = min(1.0, (1 << 14) / max(len(own), 1))
+    sample = half[own[:: max(1, round(1 / rate))]] if len(own) else half[:0]
+    nodes = build_tree(np.sort(sample), max(1, int(WITHIN * rate)), radius, np.random.default_rng(len(fp)))
+    row, leaf, home = route(nodes, half, radius)
+    asks = np.zeros(len(fp), bool)
+    asks[own] = True
+    order = np.argsort(leaf, kind="stable")
+    labels = np.arange(len(fp))
+    for some in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        members = row[some]
+        found = link(np.flatnonzero(home[some] & asks[members]), fp[members], distance)
+        off = np.flatnonzero(found != np.arange(len(found)))
+        union(labels, members[off], members[found[off]])
+    return labels
+
+
 def simhash_links(groups: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b): links among groups (fp, rep), as reps, that join all fingerprints within distance and no others.
 
@@ -164,8 +184,8 @@ def simhash_links(groups: DataFrame, distance: int = 3) -> DataFrame:
     spark = groups.sparkSession
     count = groups.count()
     leaves = min(MOST_LEAVES, max(1, count // LEAF))
-    sample = np.array([r[0] for r in groups.where(share(F.col("fp"), min(0.5, SAMPLE * leaves / max(count, 1)))).select("fp").collect()], np.int64).view(np.uint64)
-    sample = np.sort(sample)
+    sample = groups.where(share(F.col("fp"), min(0.5, SAMPLE * leaves / max(count, 1)))).select("fp").toArrow().column("fp").to_numpy()  # at most SAMPLE * MOST_LEAVES, about
+    sample = np.sort(sample.view(np.uint64))
     rate = max(len(sample), 1) / max(count, 1)
     rng = np.random.default_rng(5)
     trees = []
@@ -199,7 +219,8 @@ def simhash_links(groups: DataFrame, distance: int = 3) -> DataFrame:
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable", ignore_index=True)
         fp, rep = rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy()
-        labels = link(np.flatnonzero(rows["role"].to_numpy() == 0), fp, distance)
+        which = int(rows["cell"].iloc[0]) >> 24 & 1
+        labels = search(halves(fp)[which], fp, np.flatnonzero(rows["role"].to_numpy() == 0), radius, distance)
         off = np.flatnonzero(rep[labels] != rep)
         return pd.DataFrame({"a": rep[off], "b": rep[labels[off]]})
 

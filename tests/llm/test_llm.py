@@ -275,9 +275,10 @@ def test_simhash(keyed, monkeypatch):
     labels = brute_components(len(fps), pairs)
     want = count((r.doc_id, f"{f:016x}", data[k].doc_id) for r, f, k in zip(data, fps, labels, strict=True))
     assert count(simhash_dedup.simhash_components(keyed).collect()) == want
-    for leaf, block in ((4, 2048), (4, 3)):
+    for leaf, block, within in ((4, 2048, 256), (4, 3, 2), (50, 2048, 3)):
         monkeypatch.setattr(simhash_dedup, "LEAF", leaf)
         monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(simhash_dedup, "WITHIN", within)
         assert count(simhash_dedup.simhash_components(keyed).collect()) == want
 
 
@@ -294,6 +295,20 @@ def test_vantage_point_trees_lose_no_pair():
         assert (i, own[3000 + i]) in there and (3000 + i, own[i]) in there
 
 
+def test_search_within_a_shard_loses_no_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    fp = np.concatenate([base, near])
+    pairs = set()
+    for which, half in enumerate(simhash_dedup.halves(fp)):
+        labels = simhash_dedup.search(half, fp, np.arange(len(fp)), 1, 3)
+        pairs |= {(which, i) for i in range(1500) if labels[i] == labels[4000 + i]}
+        close = [i for i in range(1500) if int(half[i] ^ half[4000 + i]).bit_count() <= 1]
+        assert {(which, i) for i in close} <= pairs
+    assert {i for _, i in pairs} == set(range(1500))
+
+
 def test_simhash_of_nothing(spark):
     assert simhash_dedup.simhash_components(empty(spark)).count() == 0
 
