@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, delete, text_or_empty, written
@@ -29,8 +29,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return w.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).drop("full_at", "level", "cap")
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["k"].eqNullSafe(b["_k"]) & a["src"].eqNullSafe(b["_source"]) & (a["c"] == b["_c"])
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs' rows, all columns, with size, source_size, target, taken.
+    """(key, size, source_size, target, taken) for each of docs' rows, whatever its other columns are.
 
     Each source is a queue of its documents in an order shuffled by the MD5 of seed and key, run
     through up to `most` times. A document's virtual finish time is the source's tokens up to its
@@ -44,28 +48,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Null text has size 0, is in the mix, and takes nothing; a null source is a source of its own,
     ranked last. Documents of equal time go by source, MD5, key. Repeated rows are rows of their
-    own. If all sizes are 0, every target and every taken is 0. Columns named as results are
-    replaced.
+    own. If all sizes are 0, every target and every taken is 0. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    base = docs.drop("size", "source_size", "target", "taken").select("*", F.size(F.regexp_extract_all(text_or_empty(text), F.lit(f"({WORDS})"), F.lit(1))).cast("long").alias("size"))
+    out = _queue(docs, weights, share, most, seed, text, key, source)
+    return out.select(F.col("_k").alias(key), "size", "source_size", "target", "taken")
+
+
+def _queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: str, text: str, key: str, source: str) -> DataFrame:
+    """(_k, _source, _c, size, source_size, target, taken): _c is a hash of the text."""
+    size = F.size(F.regexp_extract_all(text_or_empty(text), F.lit(f"({WORDS})"), F.lit(1))).cast("long").alias("size")
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_m")
-    slim = written(base.select(F.col(key).alias("_k"), F.col(source).alias("source"), "size", digest), "mix")
+    slim = written(docs.select(F.col(key).alias("_k"), F.col(source).alias("source"), size, digest, F.xxhash64(text_or_empty(text)).alias("_c")), "mix")
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = written(source_targets(stats, weights, share, most), "targets")
     spot = F.conv(F.substring("_m", 1, 8), 16, 10).cast("long")
     queued = slim.join(plan, slim["source"].eqNullSafe(plan["source"])).drop(slim["source"]).withColumn("run", F.floor(spot * F.ceil(F.col("rows") / RUN) / F.lit(float(1 << 32))).cast("long"))
     sums = queued.groupBy("rank", "run").agg(F.sum("size").alias("s"))
     ahead = sums.withColumn("ahead", F.sum("s").over(Window.partitionBy("rank").orderBy("run")) - F.col("s")).drop("s")
-    within = Window.partitionBy("rank", "run").orderBy("_m", "_k", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("rank", "run").orderBy("_m", "_k", "size", "_c").rowsBetween(Window.unboundedPreceding, 0)
     timed = queued.withColumn("done", F.sum("size").over(within)).join(ahead, ["rank", "run"])
     timed = timed.withColumn("done", F.col("done") + F.col("ahead"))
-    timed = written(timed.select("_k", "_m", "size", "rank", "source_size", "target", "total", "done"), "queue")
+    timed = written(timed.select("_k", "_m", "_c", "source", "size", "rank", "source_size", "target", "total", "done"), "queue")
 
     count, total = timed.agg(F.count(F.lit(1)), F.max("total")).first()
     budget = int(total or 0)
     bins = max(1, count * most // RUN)
-    passes = [((F.col("done") + F.col("source_size") * i) / F.col("target")) for i in range(most)]
+    passes = [F.try_divide(F.col("done") + F.col("source_size") * i, "target") for i in range(most)]  # null where the target is 0
     entry = F.explode(F.array(*[F.struct(p.alias("time"), F.lit(i).alias("pass")) for i, p in enumerate(passes)]))
     items = timed.where("size > 0 AND target > 0").select("_k", "_m", "size", "rank", entry.alias("e")).select("_k", "_m", "size", "rank", "e.time", "e.pass")
     # equal bins up to time 2; later times, of sources whose target is less than their size, in as many bins for each doubling
@@ -91,14 +99,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
                 tie = (F.col("rank") < cut["rank"]) | ((F.col("rank") == cut["rank"]) & ((F.col("_m") < cut["_m"]) | ((F.col("_m") == cut["_m"]) & later_key)))
                 inside = (p < cut["time"]) | (same & tie)
             taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & inside, F.col("size")).otherwise(F.lit(0))
-    done = timed.select(F.col("_k").alias(key), "size", "source_size", "target", taken.alias("taken"))
+    done = timed.select("_k", F.col("source").alias("_source"), "_c", "size", "source_size", "target", taken.alias("taken"))
     delete(slim)
     return done
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself, in docs' columns: a document comes as often as it is taken."""
-    plan = mix(docs, key=key, **options).where("taken > 0").select(F.col(key).alias("_key"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    plan = plan.groupBy("_key").agg(F.max("_times").alias("_times"))
-    met = docs.join(plan, docs[key].eqNullSafe(plan["_key"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).select(*docs.columns)
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself, in docs' columns whatever their names: a document comes as often as it is taken.
+
+    Rows with the same key, source and text come equally often: as often as the one taken most.
+    """
+    plan = _queue(docs, weights, share, most, seed, text, key, source).where("taken > 0")
+    plan = plan.groupBy("_k", "_source", "_c").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = lambda c: F.col(names[docs.columns.index(c)])
+    rows = docs.toDF(*names).withColumn("k", of(key)).withColumn("src", of(source)).withColumn("c", F.xxhash64(F.coalesce(of(text), F.lit(""))))
+    met = rows.join(plan, _same(rows, plan))
+    return met.select(*names, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

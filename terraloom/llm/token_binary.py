@@ -207,12 +207,25 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def settle(store, own: str, name: str) -> None:
+    """Rename own to name; where that is there already, by another attempt at the same task, own goes. Not all stores rename over a file."""
+    there = lambda: bool(store.get_file_info(name).type)
+    if not there():
+        try:
+            return store.move(own, name)
+        except OSError:
+            if not there():
+                raise
+    store.delete_file(own)
+
+
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str = "text", key: str = "doc_id", file_ids: int = FILE_IDS) -> DataFrame:
-    """Write docs' ids under path, a folder all executors share, in ascending key order (nulls first).
+    """Write docs' ids under path, a new folder all executors share, in ascending key order (nulls first).
 
     Returns (part, file, row, key): what each file holds. Texts are dealt by ranges of key; each
     task writes its range as one or more files named by range and number, each under another name
-    first and then renamed, so a task that runs again replaces its own files with the same bytes.
+    first and then renamed, so a file is there whole or not at all; a task that runs again writes
+    the same bytes and leaves the files that are there.
     """
     kind = docs.schema[key].dataType.simpleString()
     spark = docs.sparkSession
@@ -234,7 +247,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, tex
             own = f"{root}/_{part:06d}-{number:05d}-{task.taskAttemptId()}"
             with store.open_output_stream(own) as f:
                 f.write(file.to_bytes())
-            store.move(own, name)
+            settle(store, own, name)
             n = len(file.lengths)
             out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.concat_arrays(keys).slice(0, n)], names=["part", "file", "row", "k"])
             number, keys, file = number + 1, [], FileBuilder()

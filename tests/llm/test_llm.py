@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from terraloom.llm import components as cc
-from terraloom.llm import embedding_dedup, exact_dedup, language_id, license_scan, mixing, packing, simhash_dedup, suffix_dedup, suffix_sort, token_binary, tokens, toxicity
+from terraloom.llm import embedding_dedup, exact_dedup, language_id, license_scan, linear, mixing, packing, simhash_dedup, suffix_dedup, suffix_sort, token_binary, tokens, toxicity
 from terraloom.llm.queries import byte_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, kept boolean, h string"
@@ -167,10 +167,53 @@ def test_mix_of_nothing_and_of_empty_texts(spark):
     assert [r.taken for r in mixing.mix(df).collect()] == [0, 0]
 
 
-def test_mixed_takes_documents_as_often(keyed):
-    plan = {r.doc_id: r.taken // r.size for r in mixing.mix(keyed.dropDuplicates(["doc_id"])).collect() if r.size}
-    got = collections.Counter(r.doc_id for r in mixing.mixed(keyed.dropDuplicates(["doc_id"])).collect())
-    assert got == {k: v for k, v in plan.items() if v}
+def test_mixed_takes_documents_as_often(docs):
+    """Repeated keys, null keys, null sources and columns with any names included."""
+    odd = docs.withColumn("_times", F.lit("x")).withColumn("c", F.lit(1)).withColumn("k", F.lit("k"))
+    plan = mixing.mix(odd).collect()
+    by_row = {}
+    for r in docs.collect():
+        by_row.setdefault((r.doc_id, len((r.text or "").encode().split())), set()).add((r.text, r.source))
+    clear = {(r.doc_id, r.size): r.taken // r.size for r in plan if r.size and len(by_row[r.doc_id, r.size]) == 1}
+    got = mixing.mixed(odd)
+    assert got.columns == odd.columns
+    times = collections.Counter((r.doc_id, len((r.text or "").encode().split())) for r in got.collect())
+    alike = collections.Counter((r.doc_id, r.size) for r in plan)
+    for k, v in clear.items():
+        assert times[k] == v * alike[k] or alike[k] > 1, k
+    assert set(times) <= {(r.doc_id, r.size) for r in plan if r.taken}
+
+
+def brute_queue(docs):
+    """{row: taken} of (id, source, size) rows by one queue of all finish times."""
+    sizes = collections.defaultdict(list)
+    for _, s, n in docs:
+        sizes[s].append(n)
+    target, items, done = brute_targets({s: sum(x) for s, x in sizes.items()}), [], collections.Counter()
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    digest = lambda i: hashlib.md5(f"mix{i}".encode()).hexdigest()
+    for i, s, n in sorted(docs, key=lambda d: (digest(d[0]), d[0])):
+        done[s] += n
+        if n:
+            items += [((done[s] + sum(sizes[s]) * p) / target[s], order.index(s), digest(i), i, p, n) for p in (0, 1)]
+    want, spent = collections.Counter(), 0
+    for _, _, _, i, _, n in sorted(items):
+        spent += n
+        if spent > int(1.5 * sum(n for _, _, n in docs)):
+            break
+        want[i] += n
+    return {i: want[i] for i, _, _ in docs}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mix_is_one_queue(spark, seed, monkeypatch):
+    """Random corpora: few or many sources, sizes even or very uneven, one source with a large share."""
+    monkeypatch.setattr(mixing, "RUN", random.Random(seed).choice([4, 64, 8192]))
+    r = random.Random(seed)
+    names = [f"s{i}" for i in range(r.choice([1, 2, 4, 9]))] + [None] * r.randint(0, 1)
+    docs = [(i, r.choice(names) if r.random() < 0.7 else names[0], r.choice([0, 1, r.randint(1, 9), r.randint(1, 400) if r.random() < 0.05 else 2])) for i in range(r.randint(5, 300))]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, s, n in docs], "doc_id long, text string, source string")
+    assert {x.doc_id: x.taken for x in mixing.mix(df).collect()} == brute_queue(docs)
 
 
 # --- tokens, packing, token files
@@ -247,6 +290,27 @@ def test_token_files(keyed):
     assert count(got) == count(want)
 
 
+def test_token_files_with_null_keys_and_rows_again(spark):
+    data = [(None, "b"), (None, "a"), (None, None), (3, "x y"), (3, "a " * 70_000), (3, "x y"), (1, "")]
+    df = spark.createDataFrame([(d, t, 1, "p") for d, t in data], "doc_id long, text string, part int, file string")
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    at, want = 0, []
+    for (d, _), ids in zip(order, ids_of([t for _, t in order], 2), strict=True):
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert count(token_binary.binary_round_trip(df, byte_bpe()).collect()) == count(want)
+
+
+def test_a_task_that_runs_again_leaves_whole_files(tmp_path):
+    from pyarrow import fs
+
+    store = fs.LocalFileSystem()
+    for attempt in (1, 2):
+        (tmp_path / f"_own{attempt}").write_bytes(b"same")
+        token_binary.settle(store, f"{tmp_path}/_own{attempt}", f"{tmp_path}/part")
+    assert [p.name for p in tmp_path.iterdir()] == ["part"]
+
+
 def test_token_files_of_nothing(spark):
     assert token_binary.binary_round_trip(empty(spark), byte_bpe()).count() == 0
 
@@ -479,6 +543,51 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), m).count() == 0
 
 
+def test_ftrl_is_the_scalar_rule():
+    """Against the published per-coordinate rule in plain Python, over one pass in the same order."""
+    rng = np.random.default_rng(3)
+    examples = [(np.sort(rng.choice(12, 4, replace=False)), rng.normal(size=4), int(rng.integers(3))) for _ in range(60)]
+    m = linear.Ftrl(12, 3, alpha=0.3, beta=1.0, l1=0.8, l2=0.1).fit(examples, epochs=1, seed=9)
+    z, n = collections.Counter(), collections.Counter()
+    weight = lambda k: 0.0 if abs(z[k]) <= 0.8 else -(z[k] - math.copysign(0.8, z[k])) / ((1.0 + math.sqrt(n[k])) / 0.3 + 0.1)
+    for e in np.random.default_rng(9).permutation(60).tolist():
+        x = [*zip(examples[e][0].tolist(), examples[e][1].tolist(), strict=True), (12, 1.0)]
+        w = {(i, c): weight((i, c)) for i, _ in x for c in range(3)}
+        score = [math.exp(sum(v * w[i, c] for i, v in x)) for c in range(3)]
+        for i, v in x:
+            for c in range(3):
+                g = v * (score[c] / sum(score) - (c == examples[e][2]))
+                z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / 0.3 * w[i, c]
+                n[i, c] += g * g
+    assert np.allclose(m.weights(), [[weight((i, c)) for c in range(3)] for i in range(13)])
+    assert 0 < np.mean(m.weights() == 0) < 1
+
+
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 3, 400)
+    logits = 4 * (rng.normal(size=(400, 3)) + 1.2 * np.eye(3)[labels])
+    loss = lambda t: -np.log(linear.softmax(logits / t)[np.arange(400), labels]).mean()
+    assert loss(linear.temperature(logits, labels)) <= min(map(loss, np.geomspace(0.1, 10, 500))) + 1e-6
+
+
+def test_language_scores_by_hand(spark):
+    rows = [(i, t, lang, "x", "y") for i, (t, lang) in enumerate([("the old house of the lake", "en"), ("das alte haus an dem see", "de")] * 40)]
+    rows += [(900, "the", None, "x", "y"), (901, None, "en", "x", "y"), (902, "le " * 60_000, "fr", "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score string")
+    m = language_id.train(df)
+    got = {r.doc_id: r for r in language_id.identify(df, m).collect()}
+    for i, t, *_ in rows:
+        if t is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        c = collections.Counter(language_id.grams(t).tolist())
+        z = [sum(n * float(m.weights[h, k]) for h, n in c.items()) / sum(c.values()) + m.bias[k] for k in range(len(m.languages))]
+        p = [math.exp(x / m.t) for x in z]
+        assert got[i].lang_pred == m.languages[int(np.argmax(p))] and abs(got[i].score - max(p) / sum(p)) < 1e-5
+    assert language_id.LanguageModel(["a", "b"], np.zeros((language_id.SIZE, 2)), np.zeros(2), 1.0).predict("xyz") == ("a", 0.5)  # a tie: the first by name
+
+
 def decoder():
     """A decoder whose character model has read a few words in all orders of two."""
     said = "you are a stupid worthless idiot and a moron or clown who said that the house by the lake is old".split()
@@ -490,6 +599,65 @@ def decoder():
     return toxicity.Decoder(counts)
 
 
+def brute_decode(d, span):
+    """[(score, text)]: every reading of every sign of a span."""
+    span = span.lower()
+    end = next((i for i in range(len(span) - 1, -1, -1) if span[i].isalpha()), 0)
+    found = []
+
+    def go(i, a, b, last, score, text):
+        if i == len(span):
+            found.append((score + d.lm[a][b][0], text))
+            return
+        c = span[i]
+        letters = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SIGN) for x in toxicity.LEET.get(c, "")]
+        for x, cost in letters:
+            s = toxicity.symbol(x)
+            go(i + 1, b, s, x, score + cost + d.lm[a][b][s], text + x)
+            if x == last:
+                go(i + 1, a, b, last, score + cost + toxicity.REPEAT, text)
+        if c in toxicity.GAPS or c.isspace():
+            if text:
+                go(i + 1, a, b, "", score + toxicity.GAP, text)
+            go(i + 1, b, 0, "", score + toxicity.REAL + d.lm[a][b][0], text + " ")
+        elif not letters or (i > end and not c.isalpha()):
+            go(i + 1, b, 0, "", score + (toxicity.LITERAL if letters else 0.0) + d.lm[a][b][0], text + c)
+
+    go(0, 0, 0, "", 0.0, "")
+    return found
+
+
+def test_viterbi_finds_the_likeliest_reading():
+    d, r = decoder(), random.Random(8)
+    spans = ["1d10t", "i d i o t", "m0r0n!", "stuupid", "l1k3", "0ld-h0use", "|d|0t"] + ["".join(r.choice("aeiodt10|3 .-!") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    for span in spans:
+        found = brute_decode(d, span)
+        best = max(s for s, _ in found)
+        assert max(s for s, t in found if t == d.decode(span)) > best - 1e-9, span
+
+
+def test_toxicity_scores_by_hand(spark):
+    m = toxicity.ToxicityModel(decoder(), {"idiot": 3.0, "idio^": 0.5, "idiot^": 7.0, "lake": -1.0, "stupid": 2.0, "stup^": 0.25}, -1.5, 2.0)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x / 2.0))
+    cases = {"you idiot": -1.5 + 3.5, "the lake": -2.5, "": -1.5, None: -1.5, "IDIOT idiot": -1.5 + 3.5, "1d10t lake": -1.5 + 3.5 - 1, "the house": -1.5}
+    df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in enumerate(cases)], "doc_id long, text string, score double, predicted int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, m).collect()}
+    for i, z in enumerate(cases.values()):
+        assert abs(got[i].score - sigmoid(z)) < 1e-9 and got[i].predicted == (z >= 0) and got[i].held_out == held(i)
+    left = toxicity.without_toxic(df, m)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [i for i, z in enumerate(cases.values()) if z < 0]
+
+
+def test_toxicity_takes_any_text_in_linear_time():
+    import time
+
+    d = decoder()
+    for x in ("a__", "a b__", "1_", "$$ ", "a. ", "_ a", "a\n\t", "aaa", "(", "é "):
+        began = time.time()
+        d.words(x * 10_000)
+        assert time.time() - began < 5, x
+
+
 def test_toxicity_decodes_spans_of_any_length():
     d = decoder()
     for words in ("you worthless idiot", "you are a stupid worthless idiot", "the old house by the lake and you are a stupid worthless idiot"):
