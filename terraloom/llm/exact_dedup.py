@@ -24,7 +24,9 @@ def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[str
     """docs with its columns named c0, c1, ..., so that none clashes, with key k and digests h (MD5) and s (SHA-256) of the normalised text n."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("k", F.col(names[docs.columns.index(key)])).withColumn("n", normalised(text_or_empty(names[docs.columns.index(text)])))
-    return rows.withColumn("h", F.unhex(F.md5("n"))).withColumn("s", F.unhex(F.sha2("n", 256))), names
+    # never null, which is said by coalesce: joins then need no filter that would take the digests again
+    never = F.lit(b"")
+    return rows.withColumn("h", F.coalesce(F.unhex(F.md5("n")), never)).withColumn("s", F.coalesce(F.unhex(F.sha2("n", 256)), never)), names
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -42,6 +44,20 @@ def _hot_and_cold(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.where(F.col("group_size") > most), groups.where(F.col("group_size") <= most)
 
 
+def _with_groups(rows: DataFrame, several: bool) -> DataFrame:
+    """rows with keep_id and group_size of their group, from a broadcast where it is hot, else by a join;
+    with several, null where a group is one row. Hot rows are spread in that join, where they meet nothing."""
+    hot, cold = _hot_and_cold(rows)
+    hot = hot.select("h", "s", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    cold = (cold.where("group_size > 1") if several else cold).withColumnsRenamed({"h": "spot", "s": "cold_s"})
+    met = rows.drop("n").join(F.broadcast(hot), ["h", "s"], "left")
+    if several:
+        met = met.where(F.col("hot_size").isNull() | F.col("k").eqNullSafe(F.col("hot_id")))
+    spot = F.when(F.col("hot_size").isNull(), F.col("h")).otherwise(F.concat("h", F.unhex(F.hex(F.xxhash64("k"))))).alias("own_spot")
+    met = met.select("*", spot).join(cold, (F.col("own_spot") == F.col("spot")) & (F.col("s") == F.col("cold_s")), "left")
+    return met.withColumns({"keep_id": F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")), "group_size": F.coalesce("hot_size", "group_size")})
+
+
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs' rows, all columns, with keep_id, group_size, kept and text_sha256.
 
@@ -59,9 +75,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     empty table.
     """
     rows, names = _numbered(docs, text, key)
-    hot, cold = _hot_and_cold(rows)
-    work = rows.drop("n")
-    met = work.join(F.broadcast(hot), ["h", "s"]).unionByName(work.join(F.broadcast(hot.select("h", "s")), ["h", "s"], "left_anti").join(cold, ["h", "s"]))
+    met = _with_groups(rows, several=False)
     given = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in RESULTS]
     return met.select(*given, "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("s")).alias("text_sha256"))
 
@@ -72,8 +86,5 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Copies of hot groups go where they are read; the other rows meet the groups of more than one.
     """
     rows, names = _numbered(docs, text, key)
-    hot, cold = _hot_and_cold(rows)
-    stays = F.col("group_size").isNull() | F.col("k").eqNullSafe(F.col("keep_id"))
-    left = rows.drop("n").join(F.broadcast(hot), ["h", "s"], "left").where(stays).drop("keep_id", "group_size")
-    left = left.join(cold.where("group_size > 1"), ["h", "s"], "left").where(stays)
+    left = _with_groups(rows, several=True).where(F.col("group_size").isNull() | F.col("k").eqNullSafe(F.col("keep_id")))
     return left.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
