@@ -130,6 +130,27 @@ def telling_terms(least: float = LEAST, templates=TEMPLATES) -> list[str]:
     return sorted(out)
 
 
+def _among(terms: Column, some: list[str], inside: bool = True) -> Column:
+    return F.filter(terms, lambda t: t.isin(some) if inside else ~t.isin(some))
+
+
+def may_be_near(terms: Column, least: float = LEAST, templates=TEMPLATES) -> Column:
+    """False only for texts whose terms outside all templates are too many for a cosine of least.
+
+    The cosine is at most the share of the text's norm that is on terms of templates. Each different
+    other term has the highest idf once at least; a term of a template that comes n times has its idf
+    squared times (1 + ln n)^2, which is below 1.48 n. idfs are taken at their class's highest.
+    """
+    _, idf, other = vectors(templates)
+    known = F.lit(0.0)
+    for low, high in ((0.0, 2.0), (2.0, 3.0), (3.0, 4.0), (4.0, math.inf)):
+        some = [t for t, x in idf.items() if low < x <= high]
+        if some:
+            known = known + F.size(_among(terms, some)) * F.lit(1.48 * max(idf[t] for t in some) ** 2)
+    unknown = F.size(F.array_distinct(_among(terms, list(idf), False)))
+    return known * F.lit(1 - least**2) >= unknown * F.lit((least * other) ** 2 - 1e-6)
+
+
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
@@ -161,8 +182,8 @@ def statements(files: DataFrame, least: float = LEAST, templates=TEMPLATES) -> D
     Compared are a file's lines, its blocks (lines up to an empty one), its sentences also where
     they run over lines, the comments it begins with, and of a file named as licence files are the
     whole text; marks of comments are left out. The cosine is of sparse TF-IDF vectors (frequencies by their logarithm); a term in no
-    template has the highest idf. Units without any of telling_terms can't be near enough and aren't
-    looked at. Equal cosines: the first licence by name. Units that are alike count once.
+    template has the highest idf. Units without any of telling_terms, or with too many terms of no
+    template (may_be_near), can't be near enough and aren't looked at. Equal cosines: the first licence by name. Units that are alike count once.
     """
     spark = files.sparkSession
     telling = F.array(*[F.lit(t) for t in telling_terms(least, templates)])
@@ -170,7 +191,9 @@ def statements(files: DataFrame, least: float = LEAST, templates=TEMPLATES) -> D
     some = files.select("path", text_or_empty("text").alias("text")).where(F.col("path").isNotNull() & F.arrays_overlap(_terms(F.col("text")), telling))
     whole = F.when(F.col("path").rlike(FILE_NAME), F.array(F.array_join(F.transform("lines", _bare), " "))).otherwise(F.array().cast("array<string>"))
     units = some.select("path", lines.alias("lines")).select("path", F.explode(F.array_distinct(F.concat(_pieces(F.col("lines")), whole))).alias("unit"))
-    units = units.select("path", F.xxhash64("unit").alias("u"), _terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", telling))
+    # exploded, so that the filters read the terms instead of taking them from the text again
+    units = units.select("path", F.explode(F.array(F.struct(F.xxhash64("unit").alias("u"), _terms(F.col("unit")).alias("terms")))).alias("e")).select("path", "e.u", "e.terms")
+    units = units.where(F.arrays_overlap("terms", telling)).where(may_be_near(F.col("terms"), least, templates))
     tf = units.select("path", "u", F.explode("terms").alias("term")).groupBy("path", "u", "term").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = F.broadcast(templates_table(spark, templates))
     met = tf.join(F.broadcast(vocabulary.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("t", "licence", "w", "norm")).alias("in"))), "term", "left")
