@@ -1,10 +1,12 @@
-"""Raster operators over sparse relations (i, j, value): stencils are window frames or joins by cell."""
+"""Raster operators over sparse relations (i, j, value): stencils run on dense tiles with a halo, or are joins by cell."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -23,52 +25,115 @@ def to_cell(points: DataFrame, cell: float, ni: int, nj: int) -> DataFrame:
     return points.withColumns({"i": g.clamp(g.cell(F.col("x"), cell), F.lit(0), F.lit(ni - 1)), "j": g.clamp(g.cell(F.col("y"), cell), F.lit(0), F.lit(nj - 1))})
 
 
-def _frame(axis: str, radius: int):
-    other = "j" if axis == "i" else "i"
-    return Window.partitionBy(other).orderBy(axis).rangeBetween(-radius, radius)
+#: Cells along the side of a tile.
+TILE = 256
 
 
-def _separable(raster: DataFrame, column: str, radius: int, f) -> DataFrame:
-    for axis in IJ:
-        raster = raster.withColumn(column, f(F.col(column)).over(_frame(axis, radius)))
-    return raster
+def tiled(raster: DataFrame, columns: list[str], halo: int, results: dict[str, str], f) -> DataFrame:
+    """raster with results (name -> type), computed by f on dense tiles: one shuffle, whatever f's stencil.
+
+    Each cell goes to its tile, and to the tiles next to it that have it in their halo. f takes the
+    columns as arrays over the tile and its halo, NaN where there is no cell or no value, and gives
+    an array for each result; only the tile's own cells are returned. So f must not look farther than halo.
+    """
+    if not 0 <= halo <= TILE:
+        raise ValueError(f"a halo of {halo} cells is wider than a tile")
+    kept = [c for c in raster.columns if c not in results]
+    types = {n: t for n, t in raster.dtypes if n in kept}
+    side = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    at = raster.select("*", F.floor(F.col("i") / TILE).cast("long").alias("_ti"), F.floor(F.col("j") / TILE).cast("long").alias("_tj"))
+    sent = at.select("*", F.explode(side).alias("_o"))
+    for axis, tile, off in (("i", "_ti", "_o.a"), ("j", "_tj", "_o.b")):
+        inside = F.col(axis) - F.col(tile) * TILE
+        sent = sent.where((F.col(off) == 0) | ((F.col(off) < 0) & (inside < halo)) | ((F.col(off) > 0) & (inside >= TILE - halo)))
+    sent = sent.select(*raster.columns, (F.col("_ti") + F.col("_o.a")).alias("_ti"), (F.col("_tj") + F.col("_o.b")).alias("_tj"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        low_i, low_j = int(rows["_ti"].iloc[0]) * TILE - halo, int(rows["_tj"].iloc[0]) * TILE - halo
+        i, j = rows["i"].to_numpy(np.int64) - low_i, rows["j"].to_numpy(np.int64) - low_j
+        dense = []
+        for c in columns:
+            a = np.full((TILE + 2 * halo, TILE + 2 * halo), np.nan)
+            a[i, j] = rows[c].to_numpy(float, na_value=np.nan)
+            dense.append(a)
+        own = (i >= halo) & (i < halo + TILE) & (j >= halo) & (j < halo + TILE)
+        out = rows.loc[own, kept]
+        if len(out):
+            for name, a in zip(results, f(*dense), strict=True):
+                value = a[i[own], j[own]]
+                out[name] = pd.array(value != 0, "boolean").copy() if results[name] == "boolean" else value
+                out.loc[np.isnan(value), name] = None
+        return out if len(out) else out.assign(**dict.fromkeys(results))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in (types | results).items())
+    done = sent.groupBy("_ti", "_tj").applyInPandas(run, schema)
+    return done.select(*raster.columns, *[n for n in results if n not in raster.columns])
+
+
+def slide(a: np.ndarray, radius: int, f=np.fmin) -> np.ndarray:
+    """f over the square of radius around each cell of a; f is np.fmin or np.fmax, which pass over NaN."""
+    for axis in (0, 1):
+        m = np.pad(a, [(radius, radius) if x == axis else (0, 0) for x in (0, 1)], constant_values=np.nan)
+        m, width = np.moveaxis(m, axis, 0), 1
+        while width < 2 * radius + 1:
+            step = min(width, 2 * radius + 1 - width)
+            m, width = f(m[:-step], m[step:]), width + step
+        a = np.moveaxis(m, 0, axis)
+    return a
+
+
+def _where(there: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(there), np.nan, a)
 
 
 def erode(raster: DataFrame, column: str, radius: int) -> DataFrame:
-    """Grey erosion by a square: smallest value within radius, rows then columns. Missing cells don't count."""
-    return _separable(raster, column, radius, F.min)
+    """Grey erosion by a square: smallest value within radius. Missing cells and values don't count, and stay missing."""
+    return tiled(raster, [column], radius, {column: "double"}, lambda a: [_where(a, slide(a, radius))])
 
 
 def dilate(raster: DataFrame, column: str, radius: int) -> DataFrame:
-    return _separable(raster, column, radius, F.max)
+    """Grey dilation by a square: largest value within radius."""
+    return tiled(raster, [column], radius, {column: "double"}, lambda a: [_where(a, slide(a, radius, np.fmax))])
 
 
 def opened(raster: DataFrame, column: str, radius: int) -> DataFrame:
-    return dilate(erode(raster, column, radius), column, radius)
+    """Erosion, then dilation of the cells there are."""
+    return tiled(raster, [column], 2 * radius, {column: "double"}, lambda a: [_where(a, slide(_where(a, slide(a, radius)), radius, np.fmax))])
 
 
 def ground_mask(raster: DataFrame, cell: float, column: str = "lo", max_window: float = 24.0, slope: float = 0.25, initial: float = 0.35, most: float = 4.0) -> DataFrame:
     """raster with ground: cells that no opening by a growing window lowers by more than the window allows.
 
-    The progressive morphological filter (Zhang et al. 2003); windows double up to max_window, so
-    the plan has few steps, whatever the raster.
+    The progressive morphological filter (Zhang et al. 2003); windows double up to max_window, and
+    all of them run on a tile whose halo is twice their sum.
     """
-    raster = raster.withColumn("_s", F.col(column)).withColumn("ground", F.lit(True))
-    radius = 1
-    while radius * cell <= max_window:
-        allowed = min(initial + slope * 2 * radius * cell, most)
-        raster = opened(raster.withColumn("_o", F.col("_s")), "_o", radius)
-        raster = raster.withColumn("ground", F.col("ground") & (F.col("_s") - F.col("_o") <= allowed)).withColumn("_s", F.col("_o")).drop("_o")
-        radius *= 2
-    return raster.drop("_s")
+    radii = []
+    while (2 ** len(radii)) * cell <= max_window:
+        radii.append(2 ** len(radii))
+
+    def run(a: np.ndarray) -> list[np.ndarray]:
+        surface, ground = a, np.ones(a.shape, bool)
+        for radius in radii:
+            low = _where(a, slide(_where(a, slide(surface, radius)), radius, np.fmax))
+            ground &= ~(surface - low > min(initial + slope * 2 * radius * cell, most))
+            surface = low
+        return [_where(a, ground.astype(float))]
+
+    return tiled(raster, [column], 2 * sum(radii), {"ground": "boolean"}, run)
 
 
 def box_mean(raster: DataFrame, column: str, radius: int = 1) -> DataFrame:
-    """Mean over the cells that exist within radius, as sums over counts, rows then columns."""
-    raster = raster.withColumn("_s", F.col(column)).withColumn("_n", F.col(column).isNotNull().cast("double"))
-    for c in ("_s", "_n"):
-        raster = _separable(raster, c, radius, F.sum)
-    return raster.withColumn(column, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
+    """Mean over the cells that exist within radius."""
+
+    def run(a: np.ndarray) -> list[np.ndarray]:
+        there = ~np.isnan(a)
+        total, n = np.where(there, a, 0.0), there.astype(float)
+        for axis in (0, 1):
+            total, n = (sum(np.roll(x, k, axis) for k in range(-radius, radius + 1)) for x in (total, n))
+        with np.errstate(invalid="ignore"):
+            return [np.where(n > 0, total / n, np.nan)]
+
+    return tiled(raster, [column], 2 * radius, {column: "double"}, run)
 
 
 def _around(radius: int, kind: str = "square") -> Column:

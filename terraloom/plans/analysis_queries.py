@@ -85,10 +85,10 @@ def node_neighbours(spark, sf):
 
 
 @query("""SELECT 'missing parent' AS rule, CAST(o_orderkey AS VARCHAR) AS subject FROM orders WHERE o_custkey % 7 = 0 AND o_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)
-UNION ALL SELECT 'missing end', CAST(e AS VARCHAR) FROM (SELECT DISTINCT l_orderkey * 2 AS e FROM lineitem WHERE l_linenumber = 7) WHERE e NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'unknown relation', 'touches'""")
+UNION ALL SELECT 'missing end', CAST(e AS VARCHAR) FROM (SELECT DISTINCT l_orderkey * 2 AS e FROM lineitem) WHERE e NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'unknown relation', 'touches'""")
 def graph_violations(spark, sf):
     nodes = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderkey") + 3).alias("parent"))
-    e = v.table(spark, sf, "lineitem").where("l_linenumber = 7").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_orderkey") * 2).alias("b"), F.lit("touches").alias("relation"))
+    e = v.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_orderkey") * 2).alias("b"), F.lit("touches").alias("relation"))
     return graph.violations(nodes, e, ("part_of", "adjacent"))
 
 
@@ -360,7 +360,9 @@ def vocabulary_coverage(spark, sf):
     return cascades.vocabulary_coverage(v.points(spark, sf).select(F.col("semantic").alias("code")), _voc(spark)).select("vocabulary", R("coverage", 6).alias("coverage"))
 
 
-@query("SELECT 'unknown' AS vocabulary")
+@query("""WITH ids AS (SELECT DISTINCT semantic AS code FROM points), cov AS (SELECT vocabulary, count(ids.code) / (SELECT count(*) FROM ids) AS coverage, max(code) AS top FROM voc LEFT JOIN ids USING (code) GROUP BY vocabulary),
+tied AS (SELECT count(*) AS n, min(vocabulary) AS first, max(top) AS top FROM cov WHERE coverage >= 0.9 AND coverage = (SELECT max(coverage) FROM cov))
+SELECT CASE WHEN n = 0 OR (n > 1 AND top <= 9) THEN 'unknown' ELSE first END AS vocabulary FROM tied""", P, VOC)
 def detected_vocabulary(spark, sf):
     return cascades.detect_vocabulary(v.points(spark, sf).select(F.col("semantic").alias("code")), _voc(spark))
 

@@ -80,7 +80,7 @@ def points_per_area(spark, sf):
     return frames.points_per_area(v.points(spark, sf)).withColumn("density", R("density", 6))
 
 
-FLAGGED = "pc AS (SELECT patch, u, v, ctx, 2.0 * (patch % 40) + u * 0.5 AS x, (patch % 30) * 1.0 + v * 0.25 AS y, v * 0.5 AS z FROM solid), nb AS (SELECT a.patch AS a, b.patch AS b, CASE WHEN a.patch % 20 = 0 THEN 'perpendicular' ELSE 'parallel' END AS kind FROM wall a JOIN wall b ON b.patch = a.patch + 10)"
+FLAGGED = "pc AS (SELECT patch, u, v, ctx, 2.0 * (patch % 40) + u * 0.5 AS x, (patch % 30) * 1.0 + v * 0.25 AS y, v * 0.5 AS z FROM solid), nb AS (SELECT a.patch AS a, b.patch AS b, CASE WHEN a.patch % 2 = 0 THEN 'perpendicular' ELSE 'parallel' END AS kind FROM wall a JOIN wall b ON b.patch = a.patch + 1)"
 
 
 @query("""WITH both_ AS (SELECT a AS patch, b AS other, kind FROM nb UNION ALL SELECT b, a, kind FROM nb),
@@ -91,8 +91,8 @@ def cross_patch_flags(spark, sf):
 
     w = _walls(spark, sf)
     c = surfaces.solid(w, 0.5).withColumns({"x": 2.0 * (F.col("patch") % 40) + F.col("u") * 0.5, "y": (F.col("patch") % 30) * 1.0 + F.col("v") * 0.25, "z": F.col("v") * 0.5})
-    r = w.select(F.col("patch").alias("a")).join(w.select(F.col("patch").alias("b")), F.col("b") == F.col("a") + 10)
-    r = r.withColumn("kind", F.when(F.col("a") % 20 == 0, "perpendicular").otherwise("parallel"))
+    r = w.select(F.col("patch").alias("a")).join(w.select(F.col("patch").alias("b")), F.col("b") == F.col("a") + 1)
+    r = r.withColumn("kind", F.when(F.col("a") % 2 == 0, "perpendicular").otherwise("parallel"))
     return frames.tell_across(c, r, {"perpendicular": 256, "parallel": 512}, 1.25).select("patch", "u", "v", "ctx")
 
 

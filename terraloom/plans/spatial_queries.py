@@ -122,46 +122,41 @@ def raster_cells_clamped(spark, sf):
     return rasters.to_cell(v.sites(spark, sf), 3.0, 10, 13).select("id", F.col("i").cast("long"), F.col("j").cast("long"))
 
 
-def _square(f: str, radius: int, source: str = "raster", column: str = "z") -> str:
-    return f"(SELECT a.i, a.j, {f}(b.{column}) AS {column} FROM {source} a JOIN {source} b ON abs(a.i - b.i) <= {radius} AND abs(a.j - b.j) <= {radius} GROUP BY a.i, a.j)"
+def _square(f: str, radius: int, source: str) -> str:
+    """f of z over the cells of source within radius of each: every pair of cells is looked at."""
+    around = f"(SELECT unnest(generate_series(-{radius}, {radius})) AS d)"
+    return f"(SELECT a.i, a.j, {f}(b.z) AS z FROM (SELECT i, j, i + p.d AS ni, j + q.d AS nj FROM {source}, {around} p, {around} q) a JOIN {source} b ON b.i = a.ni AND b.j = a.nj GROUP BY a.i, a.j)"
 
 
-def _sep(f: str, radius: int, source: str, column: str) -> str:
-    first = f"(SELECT * REPLACE ({f}({column}) OVER (PARTITION BY j ORDER BY i RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS {column}) FROM {source})"
-    return f"(SELECT * REPLACE ({f}({column}) OVER (PARTITION BY i ORDER BY j RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS {column}) FROM {first})"
-
-
-@query(f"SELECT i, j, z FROM {_sep('min', 2, 'raster', 'z')}", P, RA)
+@query(f"SELECT i, j, z FROM {_square('min', 3, 'holed')}", S, v.HOLED)
 def raster_erode(spark, sf):
-    return rasters.erode(v.raster(spark, sf), "z", 2).select("i", "j", "z")
+    return rasters.erode(v.holed(spark, sf), "z", 3).select("i", "j", "z")
 
 
-@query(f"SELECT i, j, z FROM {_sep('max', 2, 'raster', 'z')}", P, RA)
+@query(f"SELECT i, j, z FROM {_square('max', 3, 'holed')}", S, v.HOLED)
 def raster_dilate(spark, sf):
-    return rasters.dilate(v.raster(spark, sf), "z", 2).select("i", "j", "z")
+    return rasters.dilate(v.holed(spark, sf), "z", 3).select("i", "j", "z")
 
 
 def _pmf() -> str:
-    out, source, n, radius, ground = [], "raster", 0, 1, []
-    while radius <= 24:
+    out, source, n, radius, ground = [], "holed", 0, 1, []
+    while radius * 2.0 <= 24:
         n += 1
-        out.append(f"o{n} AS (SELECT i, j, z FROM {_sep('max', radius, _sep('min', radius, f'(SELECT i, j, z FROM {source})', 'z'), 'z')})")
-        allowed = min(0.35 + 0.25 * 2 * radius, 4.0)
-        ground.append(f"({source if source == 'raster' else source}.z - o{n}.z <= {allowed})")
+        out += [f"e{n} AS MATERIALIZED {_square('min', radius, source)}", f"o{n} AS MATERIALIZED {_square('max', radius, f'e{n}')}"]
+        ground.append(f"({source}.z - o{n}.z <= {min(0.35 + 0.25 * 2 * radius * 2.0, 4.0)})")
         source, radius = f"o{n}", radius * 2
     joins = " ".join(f"JOIN o{k} USING (i, j)" for k in range(1, n + 1))
-    return f"WITH {', '.join(out)} SELECT i, j, raster.z AS z, {' AND '.join(ground)} AS ground FROM raster {joins}"
+    return f"WITH {', '.join(out)} SELECT i, j, holed.z AS z, {' AND '.join(ground)} AS ground FROM holed {joins}"
 
 
-@query(_pmf(), P, RA)
+@query(_pmf(), S, v.HOLED)
 def ground_filter(spark, sf):
-    return rasters.ground_mask(v.raster(spark, sf), 1.0, "z").select("i", "j", "z", "ground")
+    return rasters.ground_mask(v.holed(spark, sf), 2.0, "z").select("i", "j", "z", "ground")
 
 
-@query("""WITH a AS (SELECT i, j, sum(z) OVER w AS s, count(z) OVER w AS n FROM raster WINDOW w AS (PARTITION BY j ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))
-SELECT i, j, round(sum(s) OVER w / sum(n) OVER w, 6) AS z FROM a WINDOW w AS (PARTITION BY i ORDER BY j RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""", P, RA)
+@query(f"SELECT i, j, round(z, 6) AS z FROM {_square('avg', 2, 'holed')}", S, v.HOLED)
 def raster_box_mean(spark, sf):
-    return rasters.box_mean(v.raster(spark, sf), "z", 1).select("i", "j", R("z", 6).alias("z"))
+    return rasters.box_mean(v.holed(spark, sf), "z", 2).select("i", "j", R("z", 6).alias("z"))
 
 
 @query("""WITH votes AS (SELECT a.i, a.j, b.c, count(*) AS n FROM raster a JOIN raster b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 WHERE b.c <> 255 GROUP BY ALL),
@@ -231,13 +226,13 @@ def terrain_from_bases(spark, sf):
     return out.select(F.floor("x").cast("long").alias("i"), F.floor("y").cast("long").alias("j"), R("z", 5).alias("z"))
 
 
-LINES = "lines AS (SELECT CAST(o_custkey AS BIGINT) AS line_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS ord, CAST(o_orderkey % 80 AS DOUBLE) * 0.5 AS px, CAST(o_orderkey % 37 AS DOUBLE) AS py FROM orders WHERE o_custkey % 50 = 0)"
+LINES = "lines AS (SELECT CAST(o_custkey AS BIGINT) AS line_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS ord, CAST(o_orderkey % 80 AS DOUBLE) * 0.5 AS px, CAST(o_orderkey % 37 AS DOUBLE) AS py FROM orders)"
 
 
 def _lines(spark, sf):
     from pyspark.sql import Window
 
-    o = v.table(spark, sf, "orders").where("o_custkey % 50 = 0")
+    o = v.table(spark, sf, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     return o.select(F.col("o_custkey").cast("long").alias("line_id"), F.row_number().over(w).alias("ord"), ((F.col("o_orderkey") % 80).cast("double") * 0.5).alias("px"), (F.col("o_orderkey") % 37).cast("double").alias("py"))
 

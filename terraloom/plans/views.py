@@ -63,12 +63,12 @@ EDGES = """edges AS (SELECT * FROM (SELECT ring_id, ord, px AS x1, py AS y1, lea
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of the sites, by blocks of 500 order keys."""
-    s = sites(spark, sf_dir).withColumn("tile_id", F.floor(F.col("id") / 500).cast("long")).where("x < 20 OR y < 24")
+    s = sites(spark, sf_dir).withColumn("tile_id", F.floor(F.col("id") / 500).cast("long"))
     return s.groupBy("tile_id").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"), F.count(F.lit(1)).alias("points"))
 
 
 TILES = """tiles AS (SELECT CAST(floor(id / 500.0) AS BIGINT) AS tile_id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, count(*) AS points
-  FROM sites WHERE x < 20 OR y < 24 GROUP BY 1)"""
+  FROM sites GROUP BY 1)"""
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,5 +141,14 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("c", F.when((F.col("i") * 7 + F.col("j") * 3) % 11 < 2, 255).otherwise((F.col("n") % 3).cast("int")).cast("int"))
 
 
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest sites on cells of 0.2 m: finer than the sites lie, so that most cells are missing."""
+    s = sites(spark, sf_dir)
+    return s.groupBy(F.floor(F.col("x") / 0.2 - 100).cast("long").alias("i"), F.floor(F.col("y") / 0.2 - 100).cast("long").alias("j")).agg(F.min("z").alias("z"))
+
+
+HOLED = """holed AS (SELECT CAST(floor(x / 0.2::DOUBLE - 100) AS BIGINT) AS i, CAST(floor(y / 0.2::DOUBLE - 100) AS BIGINT) AS j, min(z) AS z FROM sites GROUP BY 1, 2)"""
+
+
 RASTER = """raster AS (SELECT *, CAST(CASE WHEN (i * 7 + j * 3) % 11 < 2 THEN 255 ELSE n % 3 END AS INT) AS c FROM
   (SELECT CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, min(z) AS z, count(*) AS n FROM points GROUP BY 1, 2))"""

@@ -12,11 +12,11 @@ from .spatial_queries import ED, P, PL, RG, S, R
 
 # --- surfaces -------------------------------------------------------------------------------
 
-WALL = "wall AS (SELECT CAST(p_partkey AS BIGINT) AS patch, 2.0 + p_partkey % 9 AS width, 2.5 + p_size % 5 AS height FROM part WHERE p_partkey % 10 = 0)"
+WALL = "wall AS (SELECT CAST(p_partkey AS BIGINT) AS patch, 2.0 + p_partkey % 9 AS width, 2.5 + p_size % 5 AS height FROM part)"
 
 
 def _walls(spark, sf):
-    p = v.table(spark, sf, "part").where("p_partkey % 10 = 0")
+    p = v.table(spark, sf, "part")
     return p.select(F.col("p_partkey").cast("long").alias("patch"), (2.0 + F.col("p_partkey") % 9).alias("width"), (2.5 + F.col("p_size") % 5).alias("height"))
 
 
@@ -47,21 +47,32 @@ def door_notches(spark, sf):
     return surfaces.notches(_worn(spark, sf), 1, 4, 3)
 
 
-@query("""WITH w AS (SELECT DISTINCT patch, width, height FROM wall WHERE patch % 3 = 1 AND width >= 3 AND height >= 2.5 AND ceil(height / 0.5) >= 5 AND ceil(width / 0.5) >= 5) SELECT patch, 4 AS cells, 2 AS u0, 3 AS u1, 2 AS v0, 3 AS v1, 'window' AS kind FROM w""", WALL)
+REACH = "reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)"
+EMPTY = """box AS (SELECT patch, min(u) AS minu, max(u) AS maxu, min(v) AS minv, max(v) AS maxv FROM worn GROUP BY patch),
+empty AS (SELECT *, (patch * 1000 + u) * 1000 + v AS id FROM (SELECT *, unnest(generate_series(minv, maxv)) AS v FROM (SELECT *, unnest(generate_series(minu, maxu)) AS u FROM box)) ANTI JOIN worn USING (patch, u, v)),
+link AS (SELECT p.id AS a, q.id AS b FROM empty p JOIN empty q ON p.patch = q.patch AND abs(p.u - q.u) + abs(p.v - q.v) = 1)"""
+
+
+@query("""WITH h AS (SELECT patch, hole, count(*) AS cells, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1, max(u = minu OR u = maxu OR v = minv OR v = maxv) AS outside, min(minv) AS minv FROM
+  (SELECT e.*, least(id, coalesce(m, id)) AS hole FROM empty e LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = id) GROUP BY patch, hole),
+s AS (SELECT *, (u1 - u0 + 1) * 0.5::DOUBLE AS w, (v1 - v0 + 1) * 0.5::DOUBLE AS t, cells * 0.25::DOUBLE AS area FROM h WHERE NOT outside)
+SELECT patch, CAST(cells AS INT) AS cells, u0, u1, v0, v1, CASE WHEN (v0 - minv) * 0.5 < 0.5 AND t > 1.4 THEN 'door' WHEN t < 0.5 OR w < 0.35 THEN 'unknown' ELSE 'window' END AS kind
+FROM s WHERE area BETWEEN 0.35 AND 14 AND area / (w * t) >= 0.55 AND greatest(w / t, t / w) <= 6""", WALL, SOLID, WORN, EMPTY, REACH, recursive=True)
 def lattice_openings(spark, sf):
     return surfaces.holes(_worn(spark, sf), 0.5).drop("hole").withColumn("cells", F.col("cells").cast("int"))
 
 
-@query("SELECT patch, sum((u1 - u0 + 1) * (v1 - v0 + 1)) AS cells FROM (SELECT patch, u AS u0, u AS u1, v AS v0, v AS v1 FROM worn) GROUP BY patch", WALL, SOLID, WORN)
+@query("""WITH runs AS (SELECT patch, v, key, min(u) AS u0, max(u) AS u1 FROM (SELECT patch, u, v, ctx & 4 AS key, u - row_number() OVER (PARTITION BY patch, v, ctx & 4 ORDER BY u) AS r FROM worn) GROUP BY patch, v, key, r)
+SELECT patch, CAST(key AS INT) AS key, u0, min(v) AS v0, u1, max(v) AS v1 FROM (SELECT *, v - row_number() OVER (PARTITION BY patch, key, u0, u1 ORDER BY v) AS s FROM runs) GROUP BY patch, key, u0, u1, s""", WALL, SOLID, WORN)
 def rectangle_cover(spark, sf):
-    r = surfaces.rectangles(_worn(spark, sf).withColumn("key", F.col("ctx").bitwiseAND(4)))
-    return r.groupBy("patch").agg(F.sum((F.col("u1") - F.col("u0") + 1) * (F.col("v1") - F.col("v0") + 1)).alias("cells"))
+    return surfaces.rectangles(_worn(spark, sf).withColumn("key", F.col("ctx").bitwiseAND(4).cast("int")))
 
 
-@query("SELECT patch, count(*) AS cells FROM worn GROUP BY patch", WALL, SOLID, WORN)
+@query("SELECT patch, u, v, CAST(ctx & 4 AS INT) AS key FROM worn", WALL, SOLID, WORN)
 def greedy_rectangle_cover(spark, sf):
     r = surfaces.greedy_rectangles(_worn(spark, sf).withColumn("key", F.col("ctx").bitwiseAND(4)))
-    return r.groupBy("patch").agg(F.sum((F.col("u1") - F.col("u0") + 1) * (F.col("v1") - F.col("v0") + 1)).cast("long").alias("cells"))
+    cells = r.withColumn("u", F.explode(F.sequence("u0", "u1"))).withColumn("v", F.explode(F.sequence("v0", "v1")))  # each cell as often as rectangles have it
+    return cells.select("patch", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.col("key").cast("int").alias("key"))
 
 
 TOPS = "tops AS (SELECT CAST(floor(x / 2) AS BIGINT) AS i, CAST(floor(y / 2) AS BIGINT) AS j, max(z) AS top FROM points GROUP BY 1, 2)"
@@ -213,7 +224,7 @@ def crown_radii(spark, sf):
 # --- rays -----------------------------------------------------------------------------------
 
 SCENE = "scene AS (SELECT i, j, k, arg_max(node, id) AS node FROM (SELECT CAST(floor(x / 2) AS BIGINT) AS i, CAST(floor(y / 2) AS BIGINT) AS j, CAST(floor(z / 2) AS BIGINT) AS k, id % 40 AS node, id FROM sites) GROUP BY i, j, k)"
-BEAM = "beam AS (SELECT c_custkey AS ray, (c_custkey % 40) AS ox, (c_custkey % 48) AS oy, (c_custkey % 90) AS oz, CASE WHEN c_custkey % 2 = 0 THEN 0.6 ELSE 0.8 END AS dx, CASE WHEN c_custkey % 2 = 0 THEN 0.8 ELSE -0.6 END AS dy, 0.0 AS dz, 1.0 + c_custkey % 20 AS range FROM customer WHERE c_custkey % 5 = 0)"
+BEAM = "beam AS (SELECT c_custkey AS ray, (c_custkey % 40) AS ox, (c_custkey % 48) AS oy, (c_custkey % 90) AS oz, CASE WHEN c_custkey % 2 = 0 THEN 0.6 ELSE 0.8 END AS dx, CASE WHEN c_custkey % 2 = 0 THEN 0.8 ELSE -0.6 END AS dy, 0.0 AS dz, 1.0 + c_custkey % 20 AS range FROM customer)"
 HIT = """steps AS (SELECT ray, ox + t * dx AS x, oy + t * dy AS y, oz + t * dz AS z, t FROM (SELECT *, CAST(0.6 AS DOUBLE) + s * CAST(1.0 AS DOUBLE) AS t FROM (SELECT ray, ox::DOUBLE AS ox, oy::DOUBLE AS oy, oz::DOUBLE AS oz, dx::DOUBLE AS dx, dy::DOUBLE AS dy, dz::DOUBLE AS dz, unnest(generate_series(0, 24)) AS s FROM beam))),
 hit AS (SELECT ray, arg_min(node, t) AS node, min(t) AS t FROM steps JOIN scene ON i = CAST(floor(x / 2) AS BIGINT) AND j = CAST(floor(y / 2) AS BIGINT) AND k = CAST(floor(z / 2) AS BIGINT) GROUP BY ray),
 judged AS (SELECT b.ray, h.node, h.t - b.range AS error, CASE WHEN h.t IS NULL THEN 'missing' WHEN abs(h.t - b.range) <= 0.35 THEN 'explained' WHEN h.t < b.range THEN 'early' ELSE 'late' END AS verdict FROM beam b LEFT JOIN hit h USING (ray))"""
@@ -223,7 +234,7 @@ def _judged(spark, sf):
     s = v.sites(spark, sf)
     scene = rays.scene(s.select((F.col("id") % 40).alias("node"), F.col("id").alias("seq"), "x", "y", "z"), 2.0)
     k = F.col("c_custkey")
-    beam = v.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(
+    beam = v.table(spark, sf, "customer").select(
         k.alias("ray"), (k % 40).cast("double").alias("ox"), (k % 48).cast("double").alias("oy"), (k % 90).cast("double").alias("oz"),
         F.when(k % 2 == 0, 0.6).otherwise(0.8).alias("dx"), F.when(k % 2 == 0, 0.8).otherwise(-0.6).alias("dy"), F.lit(0.0).alias("dz"), (1.0 + k % 20).alias("range"),
     )

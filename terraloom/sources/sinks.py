@@ -36,14 +36,20 @@ def read_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def png(image: np.ndarray) -> bytes:
-    """A PNG of an image (h, w) or (h, w, 3 or 4) of bytes."""
-    image = np.ascontiguousarray(image, np.uint8)
-    if image.ndim == 2:
-        image = image[:, :, None]
-    h, w, c = image.shape
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, w * c)], axis=1).tobytes()
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    """A PNG of an image (h, w) or (h, w, 3 or 4) of bytes. Every row is told by its differences to the row above."""
+    pixels = np.atleast_3d(np.asarray(image, np.uint8))
+    height, width, channels = pixels.shape
+    colour_type = {1: 0, 3: 2, 4: 6}[channels]
+    packer, data, above = zlib.compressobj(), bytearray(), np.zeros(width * channels, np.uint8)
+    for row in pixels.reshape(height, -1):
+        data += packer.compress(b"\x02")  # filter type 2: up
+        data += packer.compress((row - above).tobytes())
+        above = row
+    data += packer.flush()
+    out = bytearray(b"\x89PNG\r\n\x1a\n")
+    for name, body in ((b"IHDR", struct.pack(">2I5B", width, height, 8, colour_type, 0, 0, 0)), (b"IDAT", bytes(data)), (b"IEND", b"")):
+        out += len(body).to_bytes(4, "big") + name + body + zlib.crc32(body, zlib.crc32(name)).to_bytes(4, "big")
+    return bytes(out)
 
 
 def gltf(tris: DataFrame) -> dict:

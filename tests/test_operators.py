@@ -125,3 +125,62 @@ def test_draws_repeat(spark):
     f = spark.range(200)
     a = rows(f.select("id", worldgen.draw(f["id"])))
     assert a == rows(f.select("id", worldgen.draw(f["id"]))) and 0.3 < np.mean([x for _, x in a]) < 0.7
+
+
+def test_stencils_over_tiles_and_holes(spark, monkeypatch):
+    """Against a loop over all pairs of cells: sparse rasters, negative cells, null values, tiles smaller than the raster."""
+    import random
+
+    from terraloom.operators import rasters
+
+    r = random.Random(3)
+    cells = {(i, j): (None if r.random() < 0.05 else float(r.randint(0, 50))) for i in range(-14, 15) for j in range(-9, 12) if r.random() < 0.4} | {(0, 0): 1.0, (1, 1): 5.0, (90, -70): 3.0}
+    df = spark.createDataFrame([(i, j, z, "x") for (i, j), z in cells.items()], "i long, j long, z double, ground string")
+
+    def around(of, radius, f):
+        near = lambda i, j: [v for (a, b), v in of.items() if v is not None and abs(a - i) <= radius and abs(b - j) <= radius]
+        return {c: None if v is None else f(near(*c)) for c, v in of.items()}
+
+    monkeypatch.setattr(rasters, "TILE", 8)
+    for radius in (1, 3):
+        low = around(cells, radius, min)
+        for got, want in (
+            (rasters.erode(df, "z", radius), low),
+            (rasters.dilate(df, "z", radius), around(cells, radius, max)),
+            (rasters.opened(df, "z", radius), around(low, radius, max)),
+        ):
+            assert got.columns == df.columns and {(x.i, x.j): x.z for x in got.collect()} == want
+    mean = {(x.i, x.j): x.z for x in rasters.box_mean(df, "z", 2).collect()}
+    for c, v in around(cells, 2, lambda x: sum(x) / len(x)).items():
+        assert v is None or abs(mean[c] - v) < 1e-9, c
+    monkeypatch.setattr(rasters, "TILE", 64)
+    surface, ground, radius = cells, {c: None if v is None else True for c, v in cells.items()}, 1
+    while radius <= 8:
+        opened = around(around(surface, radius, min), radius, max)
+        allowed = min(0.35 + 0.25 * 2 * radius, 4.0)
+        ground = {c: g if g is None else g and surface[c] - opened[c] <= allowed for c, g in ground.items()}
+        surface, radius = opened, radius * 2
+    got = rasters.ground_mask(df, 1.0, "z", max_window=8.0)
+    assert {(x.i, x.j): x.ground for x in got.collect()} == ground
+    assert rasters.erode(df.where("false"), "z", 1).count() == 0
+
+
+def test_png_reads_back():
+    import struct
+    import zlib
+
+    import numpy as np
+    from terraloom.sources import sinks
+
+    for shape in ((3, 5), (4, 2, 3), (2, 2, 4), (1, 1)):
+        image = np.random.default_rng(1).integers(0, 256, shape, dtype=np.uint8)
+        blob, at, chunks = sinks.png(image), 8, {}
+        while at < len(blob):
+            (n,) = struct.unpack(">I", blob[at : at + 4])
+            name, body = blob[at + 4 : at + 8], blob[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", blob[at + 8 + n : at + 12 + n])[0] == zlib.crc32(name + body)
+            chunks[name], at = body, at + 12 + n
+        h, w = shape[:2]
+        rows = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), np.uint8).reshape(h, -1)
+        assert (rows[:, 0] == 2).all() and np.array_equal(np.cumsum(rows[:, 1:], axis=0, dtype=np.uint8).ravel(), image.ravel())
+        assert struct.unpack(">II", chunks[b"IHDR"][:8]) == (w, h)

@@ -126,4 +126,4 @@ def test_png():
     at = blob.index(b"IDAT")
     size = int.from_bytes(blob[at - 4 : at], "big")
     raw = np.frombuffer(zlib.decompress(blob[at + 4 : at + 4 + size]), np.uint8).reshape(2, 13)
-    assert blob.startswith(b"\x89PNG") and (raw[:, 1:].reshape(2, 4, 3) == image).all()
+    assert blob.startswith(b"\x89PNG") and (np.cumsum(raw[:, 1:], axis=0, dtype=np.uint8).reshape(2, 4, 3) == image).all()  # rows are differences to the row above
