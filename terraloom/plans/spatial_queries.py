@@ -65,7 +65,7 @@ def voxel_shapes(spark, sf):
 
 
 NEAR = "off AS (SELECT a.d AS di, b.d AS dj, c.d AS dk FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d))"
-NSUM = "ns AS (SELECT a.i, a.j, a.k, " + ", ".join(f"{'CAST(sum(b.n) AS BIGINT)' if c == 'n' else f'sum(b.{c})'} AS {c}" for c in voxels.MOMENTS) + " FROM m a, off JOIN m b ON b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk GROUP BY a.i, a.j, a.k)"
+NSUM = "ns AS (SELECT a.i, a.j, a.k, " + ", ".join(f"{'CAST(sum(b.n) AS BIGINT)' if c == 'n' else f'sum(b.{c})'} AS {c}" for c in voxels.MOMENTS) + " FROM (SELECT i, j, k, i + di AS bi, j + dj AS bj, k + dk AS bk FROM m, off) a JOIN m b ON b.i = bi AND b.j = bj AND b.k = bk GROUP BY a.i, a.j, a.k)"
 
 
 @query("SELECT i, j, k, n, sz FROM ns", P, MOM, NEAR, NSUM)
