@@ -276,3 +276,18 @@ def promote(raster: DataFrame, mask: DataFrame, column: str = "c", of: int = 0,
     """raster with cells of mask promoted from class `of` to `to`; other classes and void stay."""
     hit = mask.select(*IJ).distinct().withColumn("_hit", F.lit(True))
     return raster.join(hit, IJ, "left").withColumn(column, F.when(F.col("_hit") & (F.col(column) == of), F.lit(to)).otherwise(F.col(column))).drop("_hit")
+
+
+def smooth_roads(raster: DataFrame, column: str = "z", kind: str = "c", road: int = 1, passes: int = 2) -> DataFrame:
+    """raster (i, j, column, kind) with `smooth`: on roads the mean of means (3x3, `passes` times) of the heights around, elsewhere
+    the height. Cells that are missing have no part in a mean."""
+    blurred = raster.select("i", "j", F.col(column).alias("_h"))
+    for _ in range(passes):
+        blurred = box_mean(blurred, "_h").select("i", "j", "_h")
+    on = F.col(kind) == road
+    return raster.join(blurred, ["i", "j"], "left").withColumn("smooth", F.when(on, F.col("_h")).otherwise(F.col(column))).drop("_h")
+
+
+def centres(raster: DataFrame, cell: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """raster with cx, cy, the middle of each cell."""
+    return raster.withColumns({f"c{c}": (F.col(n) + 0.5) * cell + o for c, n, o in zip("xy", "ij", origin, strict=True)})

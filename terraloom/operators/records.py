@@ -56,3 +56,24 @@ def admissible(layers: DataFrame, epoch: int, mode: str) -> DataFrame:
     later = F.col("epoch") > epoch
     reason = F.when(F.lit(mode) == "audit", None).when(F.col("role") == "truth", "withheld: truth").when(later, "withheld: later than the epoch").when(~F.col("role").isin("input", "prior"), F.concat(F.lit("withheld: role "), "role"))
     return layers.withColumns({"reason": reason, "admitted": reason.isNull()})
+
+
+#: fixed values: gaps that no repair may fill, since nothing is missing there
+NEVER_FILLED = ("true_void", "procedural_freedom")
+
+
+def gap_summary(gaps: DataFrame) -> DataFrame:
+    """(gap_type, gaps, fillable, refused, area) of gaps (gap_type, area), by type and in all (gap_type 'all'); unknown areas count as 0."""
+    may = ~F.col("gap_type").isin(*NEVER_FILLED)
+    counted = gaps.select("gap_type", F.coalesce("area", F.lit(0.0)).alias("area"), may.cast("int").alias("may"))
+    out = counted.rollup("gap_type").agg(F.count(F.lit(1)).alias("gaps"), F.coalesce(F.sum("may"), F.lit(0)).alias("fillable"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), F.grouping("gap_type").alias("_g"))
+    return out.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("gap_type")).alias("gap_type"), "gaps", "fillable", (F.col("gaps") - F.col("fillable")).alias("refused"), "area")
+
+
+def program_summary(programs: DataFrame) -> DataFrame:
+    """One row of programs (kind, parameters, residual): their cost in parameters, their kinds, and how much of what was
+    measured (residual not null) they leave unexplained."""
+    return programs.agg(
+        F.count(F.lit(1)).alias("programs"), F.coalesce(F.sum("parameters"), F.lit(0)).alias("parameters"), F.array_sort(F.collect_set("kind")).alias("kinds"),
+        F.count("residual").alias("measured"), F.avg("residual").alias("residual_mean"), F.max("residual").alias("residual_max"),
+    )

@@ -38,14 +38,14 @@ def moments(points: DataFrame, size: float) -> DataFrame:
     return assign(points, size).groupBy(*IJK).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in s.items()], *[F.sum(c).alias(n) for n, c in pairs.items()])
 
 
-def covariance(m: DataFrame, least: int = 4, floor: float = 1e-9) -> DataFrame:
-    """Mean and covariance from moments; voxels of under `least` points get floor times the identity."""
+def covariance(m: DataFrame, least: int = 4, floor: float = 1e-9, keys: list[str] = IJK) -> DataFrame:
+    """Mean and covariance from moments of voxels, or of what other keys name; those of under `least` points get floor times the identity."""
     few = F.col("n") < least
     out = {f"m{a}": F.col(f"s{a}") / F.col("n") for a in "xyz"}
     for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"):
         value = F.col(f"s{a}{b}") / F.col("n") - (F.col(f"s{a}") / F.col("n")) * (F.col(f"s{b}") / F.col("n"))
         out[f"c{a}{b}"] = F.when(few, F.lit(floor if a == b else 0.0)).otherwise(value)
-    return m.select(*IJK, "n", *[c.alias(n) for n, c in out.items()])
+    return m.select(*keys, "n", *[c.alias(n) for n, c in out.items()])
 
 
 def shapes(cov: DataFrame) -> DataFrame:

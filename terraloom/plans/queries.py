@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, descriptor_queries, detail_queries, spatial_queries, world_queries  # noqa: F401
+from . import analysis_queries, catalogue_queries, descriptor_queries, detail_queries, spatial_queries, world_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "voxel_moments"
