@@ -20,6 +20,6 @@ def exploded_broadcasts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["validation_by_node", "validation_report", "cross_patch_flags", "lattice_openings"])
+@pytest.mark.parametrize("name", ["validation_by_node", "validation_report", "cross_patch_flags", "lattice_openings", "ray_verdicts"])
 def test_nothing_exploded_is_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(QUERIES[name](spark, sf_dir)) == []
