@@ -23,3 +23,10 @@ def exploded_broadcasts(df) -> list[str]:
 @pytest.mark.parametrize("name", ["validation_by_node", "validation_report", "cross_patch_flags", "lattice_openings", "ray_verdicts"])
 def test_nothing_exploded_is_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(QUERIES[name](spark, sf_dir)) == []
+
+
+def test_nothing_exploded_is_broadcast_once_planned_again(spark, sf_dir):
+    df = QUERIES["ray_verdicts"](spark, sf_dir)
+    df.collect()  # from here on the plan is the one that ran, and the one it began as
+    assert "Final Plan" in df._jdf.queryExecution().executedPlan().toString()
+    assert exploded_broadcasts(df) == []
